@@ -216,7 +216,8 @@ def top_procedures(procedures: DataFrame, admissions: DataFrame, top: int = 20)
     """Procedures by (name, admitting department); the quartile is taken over all groups, before the limit."""
     parents = admissions.select("admission_id", "department_name")
     groups = (
-        procedures.join(parents, "admission_id")
+        procedures.select("admission_id", "procedure_name", "cost")
+        .join(parents, "admission_id")
         .groupBy("procedure_name", "department_name")
         .agg(
             rows().alias("times_performed"),

@@ -44,8 +44,9 @@ def balanced_weight(df: DataFrame, label: str) -> Column:
 
 
 def roc_auc(scored: DataFrame, label: str, score: str) -> float:
+    """Area under the exact curve; numBins=0 keeps every distinct score."""
     return BinaryClassificationEvaluator(
-        labelCol=label, rawPredictionCol=score, metricName="areaUnderROC"
+        labelCol=label, rawPredictionCol=score, metricName="areaUnderROC", numBins=0
     ).evaluate(scored)
 
 

@@ -613,14 +613,14 @@ def _case_mix(t: StarTables) -> DataFrame:
             F.col("rate").cast("decimal(12,8)").alias("expected_prob"),
         )
     )
-    scored = facts.join(
+    coded = with_codes(facts, {"severity": "severity_code"})
+    scored = coded.join(
         cells,
-        facts.department_name.eqNullSafe(cells.cell_department)
-        & facts.severity.eqNullSafe(cells.cell_severity),
+        coded.department_name.eqNullSafe(cells.cell_department)
+        & coded.severity.eqNullSafe(cells.cell_severity),
         "left",
     ).join(t.patients().select("patient_id", "age"), "patient_id", "left")
-    coded = with_codes(scored, {"severity": "severity_code"})
-    return att.doctor_case_mix(coded, t.doctors())
+    return att.doctor_case_mix(scored, t.doctors())
 
 
 def _scores(t: StarTables) -> DataFrame:

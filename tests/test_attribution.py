@@ -1,0 +1,147 @@
+import csv
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from caregauge.operators import attribution as att
+
+from .conftest import by
+
+WINDOWS = [1_000_000, 0]  # plain windows, distributed ranks
+
+
+@pytest.fixture(scope="module")
+def published(spark):
+    """The published scores with the exact actual rates that their rounded values stand for."""
+    lines = (Path(__file__).parent / "published_scores.csv").read_text().splitlines()[1:]
+    rows = []
+    for i, r in enumerate(csv.DictReader(lines)):
+        n = int(r["n_patients"])
+        actual = round(float(r["actual_readmit_rate"]) * n) / n
+        rows.append(
+            (
+                i,
+                f"Doctor {i}",
+                r["specialization"],
+                int(r["experience_years"]),
+                n,
+                actual,
+                float(r["expected_readmit_rate"]),
+                float(r["attribution_score_norm"]),
+                float(r["complexity_score"]),
+                r["quadrant"],
+                float(r["rank_shift"]),
+            )
+        )
+    return spark.createDataFrame(
+        rows,
+        "doctor_id int, doctor_name string, specialization string, experience_years int, n_patients int,"
+        " actual_readmit_rate double, expected_readmit_rate double, attribution_score_norm double,"
+        " complexity_score double, published_quadrant string, published_shift double",
+    )
+
+
+def test_published_totals(published):
+    row = published.agg(
+        F.sum("n_patients").alias("n"),
+        F.sum(F.round(F.col("actual_readmit_rate") * F.col("n_patients"))).alias("readmissions"),
+    ).first()
+    assert (row.n, row.readmissions) == (5000, 408)
+
+
+def test_published_scores_within_input_rounding(published):
+    mix = published.withColumnsRenamed(
+        {"attribution_score_norm": "norm", "complexity_score": "complexity"}
+    ).withColumn("avg_complexity", F.col("expected_readmit_rate"))
+    rows = att.complexity_score(att.attribution_score(mix)).collect()
+    assert max(abs(r.attribution_score_norm - r.norm) for r in rows) <= 1.4
+    assert max(abs(r.complexity_score - r.complexity) for r in rows) <= 0.9
+
+
+@pytest.mark.parametrize("window_rows", WINDOWS)
+def test_published_quadrants(published, window_rows):
+    rows = att.quadrant(published, 50, window_rows).collect()
+    assert [r.quadrant for r in rows] == [r.published_quadrant for r in rows]
+    counts = {r.quadrant: r.doctors for r in att.quadrant_counts(att.quadrant(published, 50)).collect()}
+    assert counts == {"Hidden Star": 12, "Overloaded": 13, "Solid": 13, "Quality Gap": 12}
+
+
+@pytest.mark.parametrize("window_rows", WINDOWS)
+def test_published_rank_shifts(published, window_rows):
+    rows = att.rank_shift(published, 50, window_rows).collect()
+    assert [r.rank_shift for r in rows] == [r.published_shift for r in rows]
+    assert sum(r.raw_rank for r in rows) == sum(r.adj_rank for r in rows) == 50 * 51 / 2
+
+
+def test_published_experience_effect(published):
+    row = att.experience_effect(published).first()
+    assert row.pearson_r == pytest.approx(0.0096, abs=5e-5)
+    assert row.verdict == "no strong relationship"
+
+
+def test_reports_on_published_scores(published):
+    scores = att.rank_shift(att.quadrant(published, 50), 50)
+    stars = att.top_hidden_stars(scores).collect()
+    assert len(stars) == 3 and {r.quadrant for r in stars} == {"Hidden Star"}
+    assert stars[0].complexity_score >= stars[1].complexity_score >= stars[2].complexity_score
+    gaps = att.top_quality_gaps(scores).collect()
+    assert {r.quadrant for r in gaps} == {"Quality Gap"}
+    assert len(att.top_rank_shift(scores).collect()) == 5
+    assert att.rank_shift_extremes(scores).count() == 20
+    assert att.rank_shift_extremes(scores, each=40).count() == 50  # overlapping lists, no duplicates
+    panels = by(att.complexity_extremes(scores).collect(), "panel")
+    assert panels["most complex"]["complexity_score"] == 100.0
+    assert panels["least complex"]["complexity_score"] == 0.0
+
+
+def _scored(spark, rows):
+    columns = (
+        "doctor_id string, readmitted_30days int, expected_prob double, severity_code int, age double,"
+        " total_bill double, outcome string"
+    )
+    return spark.createDataFrame(rows, columns)
+
+
+def test_case_mix(spark, doctors):
+    scored = _scored(
+        spark,
+        [
+            ("D1", 1, 0.2, 0, 40.0, 10.0, "Recovered"),
+            ("D1", 0, 0.4, 2, 50.0, 20.5, "Expired"),
+            ("D3", 0, 0.1, 1, 60.0, 5.0, "Recovered"),
+            ("nobody", 1, 0.9, 1, 1.0, 5.0, "Recovered"),
+        ],
+    )
+    rows = by(att.doctor_case_mix(scored, doctors).collect(), "doctor_id")
+    assert set(rows) == {"D1", "D3"}
+    first = rows["D1"]
+    assert (first["n_patients"], first["actual_readmit_rate"], first["recovery_rate"]) == (2, 0.5, 0.5)
+    assert first["expected_readmit_rate"] == pytest.approx(0.3)
+    assert first["avg_complexity"] == first["expected_readmit_rate"]
+    assert (first["avg_severity"], first["avg_patient_age"], first["revenue_generated"]) == (1.0, 45.0, 30.5)
+
+
+def test_equal_panels_leave_the_complexity_open(spark, doctors):
+    scored = _scored(
+        spark,
+        [("D1", 1, 0.5, 0, 1.0, 1.0, "x"), ("D2", 0, 0.5, 0, 1.0, 1.0, "x"), ("D3", 0, 0.5, 0, 1.0, 1.0, "x")],
+    )
+    rows = by(att.score_doctors(att.doctor_case_mix(scored, doctors)).collect(), "doctor_id")
+    assert {r["complexity_score"] for r in rows.values()} == {None}
+    # No score is above the median, so nobody counts as complex.
+    assert {r["quadrant"] for r in rows.values()} == {"Quality Gap"}
+
+
+def test_table_has_the_published_columns(spark, doctors):
+    scored = _scored(
+        spark,
+        [("D1", 1, 0.25, 0, 1.0, 0.5, "x"), ("D1", 0, 0.2, 0, 1.0, 1.0, "x"), ("D3", 0, 0.6, 0, 1.0, 2.5, "x")],
+    )
+    table = att.attribution_scores(att.score_doctors(att.doctor_case_mix(scored, doctors)))
+    assert tuple(table.columns) == att.SCORE_COLUMNS
+    rows = table.collect()
+    assert [r.doctor_name for r in rows] == ["Dr. Sen A", "Dr. Rao A"]
+    assert rows[0].attribution_score_norm == -100.0
+    assert rows[0].revenue_generated == 2.0  # half even
+    assert {r.n for r in att.dept_actual_vs_expected(att.score_doctors(att.doctor_case_mix(scored, doctors))).collect()} == {1, 2}

@@ -1,0 +1,148 @@
+import pytest
+
+from caregauge.operators import departments as dep
+
+from .conftest import by
+
+
+def test_revenue_ranking(admissions):
+    rows = by(dep.dept_revenue_ranking(admissions).collect(), "department_name")
+    general, cardio = rows["General"], rows["Cardio"]
+    assert general["total_revenue"] == 1250.45 and general["revenue_rank"] == 1
+    assert cardio["total_revenue"] == 600.10 and cardio["revenue_rank"] == 2
+    assert cardio["avg_bill_per_patient"] == 200.03
+    assert cardio["insurance_recovered"] == 290.05 and cardio["patient_collections"] == 310.05
+    assert rows[None]["revenue_rank"] == 3  # SQL grouping keeps a null key
+    assert sum(r["revenue_share_pct"] for r in rows.values()) == pytest.approx(100, abs=0.02)
+
+
+def test_equal_revenue_shares_a_rank(spark, admissions):
+    tied = admissions.where("admission_id in ('A4', 'A5')").withColumnRenamed("diagnosis", "x")
+    tied = tied.drop("department_name").withColumnRenamed("x", "department_name")
+    assert [r.revenue_rank for r in dep.dept_revenue_ranking(tied).collect()] == [1, 1]
+
+
+def test_having_comes_before_the_limit(admissions):
+    rows = dep.readmission_by_dept_severity(admissions, min_rows=2, top=5).collect()
+    assert [(r.department_name, r.severity, r.readmission_rate_pct) for r in rows] == [
+        ("General", "Moderate", 50.0),
+        ("Cardio", "Mild", 0.0),
+    ]
+    assert dep.readmission_by_dept_severity(admissions, min_rows=20).count() == 0
+
+
+def test_heatmap_rounds_to_whole_percent(admissions):
+    rows = by(dep.readmission_heatmap(admissions).collect(), "department_name", "severity")
+    assert rows["General", "Moderate"]["readmission_rate"] == 50.0
+
+
+def test_severity_pivot_keeps_the_given_order_and_fills_gaps(admissions):
+    order = ["Mild", "Moderate", "Severe", "Critical"]
+    pivot = dep.readmission_severity_pivot(admissions, order)
+    assert pivot.columns == ["department_name", *order]
+    rows = by(pivot.collect(), "department_name")
+    assert set(rows) == {"Cardio", "General"}  # dataframe grouping drops the null key
+    assert rows["Cardio"]["Moderate"] == 0.0 and rows["General"]["Critical"] == 100.0
+
+
+def test_insurer_classes_use_the_unrounded_ratio(spark):
+    df = spark.createDataFrame(
+        [("A", 1000.0, 700.0), ("B", 100000.0, 69999.0), ("C", 10.0, 4.0), ("Self-Pay", 10.0, 0.0), ("Z", 0.0, 0.0)],
+        "insurance_provider string, total_bill double, insurance_covered double",
+    ).selectExpr("*", "total_bill - insurance_covered AS patient_paid")
+    rows = by(dep.insurer_leakage(df).collect(), "insurance_provider")
+    assert {k: r["coverage_category"] for k, r in rows.items()} == {
+        "A": "High Coverage",
+        "B": "Medium Coverage",
+        "C": "Medium Coverage",
+        "Self-Pay": "Low Coverage",
+        "Z": "Low Coverage",
+    }
+    assert rows["B"]["insurer_coverage_pct"] == 70.0
+    assert rows["Z"]["insurer_coverage_pct"] is None
+    assert all(r["revenue_gap"] == 0 for r in rows.values())
+
+
+def test_breakdown_has_its_own_bands_and_clips_the_gap(spark):
+    df = spark.createDataFrame(
+        [("A", 100.0, 60.0, 30.0), ("B", 100.0, 59.0, 50.0), ("C", 100.0, 34.9, 0.0)],
+        "insurance_provider string, total_bill double, insurance_covered double, patient_paid double",
+    )
+    rows = by(dep.insurance_breakdown(df).collect(), "insurance_provider")
+    assert [rows[k]["coverage_band"] for k in "ABC"] == ["good", "moderate", "low"]
+    assert rows["B"]["gap"] == -9.0 and rows["B"]["gap_clipped"] == 0.0
+
+
+def test_api_insurance_limits_after_sorting(admissions):
+    rows = dep.api_insurance(admissions, top=1).collect()
+    assert [(r.insurance_provider, r.billed, r.claims) for r in rows] == [("Alpha", 1300.0, 3)]
+
+
+def test_procedure_quartile_precedes_the_limit(procedures, admissions):
+    everything = dep.top_procedures(procedures, admissions).collect()
+    assert [(r.procedure_name, r.department_name, r.total_revenue) for r in everything] == [
+        ("Stent", "Cardio", 90.0),
+        ("ECG", "Cardio", 22.5),
+        ("ECG", "General", 11.0),
+    ]
+    assert [r.revenue_quartile for r in everything] == [1, 2, 3]
+    assert dep.top_procedures(procedures, admissions, top=1).collect() == everything[:1]
+
+
+def test_bed_ratio_is_of_averages_and_safe(admissions):
+    rows = by(dep.bed_utilisation(admissions).collect(), "bed_type", "admission_type")
+    assert rows["ICU", "Urgent"]["revenue_per_day"] == 67.0  # 200.05 / 3
+    empty_stay = admissions.selectExpr("* except(length_of_stay)", "0 AS length_of_stay")
+    assert {r.revenue_per_day for r in dep.bed_utilisation(empty_stay).collect()} == {None}
+
+
+def test_yoy_pivot_takes_years_and_survives_a_zero_base(admissions):
+    rows = by(dep.yoy_pivot(admissions, [2021, 2022]).collect(), "department_name")
+    assert rows["General"]["rev_2021"] == 600.0 and rows["General"]["rev_2022"] == 650.0
+    assert rows["General"]["growth_2021_to_2022_pct"] == 8.3
+    assert rows["Cardio"]["rev_2022"] == 0.0 and rows["Cardio"]["growth_2021_to_2022_pct"] == -100.0
+    assert rows[None]["growth_2021_to_2022_pct"] is None
+
+
+def test_same_diagnosis_in_two_departments_stays_apart(admissions):
+    rows = by(dep.diagnosis_rank(admissions, min_cases=1).collect(), "diagnosis", "department_name")
+    assert rows["Hypertension", "Cardio"]["cases"] == 1
+    assert rows["Hypertension", "General"]["avg_treatment_cost"] == 600.0
+    assert rows["Flu", "General"]["frequency_rank"] == 1
+    ranks = sorted(r["frequency_rank"] for r in rows.values())
+    assert set(ranks) == {1, 2, 3}  # dense
+
+
+def test_matrix_flags(admissions):
+    rows = by(dep.department_matrix(admissions, top=1, los_high=4, los_medium=3).collect(), "department_name")
+    assert rows["General"]["top_revenue"] and not rows["Cardio"]["top_revenue"]
+    assert rows["General"]["los_band"] == "long" and rows["Cardio"]["los_band"] == "short"
+    assert rows["Cardio"]["mean_department_los"] == pytest.approx((4.5 + 3) / 2)  # unweighted
+
+
+def test_total_row_is_an_unweighted_mean(admissions):
+    summary = dep.report_dept_summary(admissions)
+    rows = by(dep.report_dept_total_row(summary).collect(), "department_name")
+    assert rows["TOTAL"]["avg_los"] == pytest.approx((3.0 + 4.5) / 2)
+    assert rows["TOTAL"]["admissions"] == 7 and rows["TOTAL"]["revenue"] == 1850.0
+    assert rows["General"]["revenue_share"] + rows["Cardio"]["revenue_share"] == pytest.approx(1)
+
+
+def test_report_rounds_half_even(spark):
+    df = spark.createDataFrame(
+        [("A", 0.5, 1, 0), ("B", 1.5, 2, 1)],
+        "department_name string, total_bill double, length_of_stay int, readmitted_30days int",
+    )
+    rows = by(dep.report_dept_summary(df).collect(), "department_name")
+    assert rows["A"]["revenue"] == 0.0 and rows["B"]["revenue"] == 2.0
+
+
+def test_diagnosis_report_has_no_minimum(admissions):
+    rows = by(dep.report_diagnosis_top(admissions).collect(), "diagnosis", "department_name")
+    assert len(rows) == 4 and rows["Angina", "Cardio"]["high_readmission"] is True
+
+
+def test_success_rate(admissions):
+    rows = by(dep.success_rate_vs_benchmark(admissions, 60).collect(), "department_name")
+    assert rows["Cardio"]["success_rate_pct"] == 66.67 and not rows["Cardio"]["below_benchmark"]
+    assert rows["General"]["success_rate_pct"] == 50.0 and rows["General"]["below_benchmark"]
