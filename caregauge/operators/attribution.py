@@ -20,7 +20,7 @@ from ..functions import (
 )
 from ..session import stage
 from .kpis import recovered
-from .ranking import WINDOW_ROWS, exact_quantiles, rank_over
+from .ranking import exact_quantiles, rank_over
 
 # Quadrant names.
 HIDDEN_STAR = "Hidden Star"
@@ -91,7 +91,7 @@ def complexity_score(case_mix: DataFrame) -> DataFrame:
     return case_mix.withColumn("complexity_score", round_half_even(share * 100, 1))
 
 
-def quadrant(scores: DataFrame, rows_bound: int, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def quadrant(scores: DataFrame, rows_bound: int, window_rows: int | None = None) -> DataFrame:
     """Split at the median complexity score and the median actual rate; a value at the median is high."""
 
     def median(column: str):
@@ -111,7 +111,7 @@ def quadrant(scores: DataFrame, rows_bound: int, window_rows: int = WINDOW_ROWS)
     )
 
 
-def rank_shift(scores: DataFrame, rows_bound: int, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def rank_shift(scores: DataFrame, rows_bound: int, window_rows: int | None = None) -> DataFrame:
     """Add raw rank, adjusted rank (ties share their mean rank) and their difference, rounded half even."""
     for value, name in (("actual_readmit_rate", "raw_rank"), ("attribution_score_norm", "adj_rank")):
         scores = rank_over(
@@ -126,7 +126,7 @@ def rank_shift(scores: DataFrame, rows_bound: int, window_rows: int = WINDOW_ROW
     return scores.withColumn("rank_shift", F.rint(F.col("raw_rank") - F.col("adj_rank")))
 
 
-def score_doctors(case_mix: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def score_doctors(case_mix: DataFrame, window_rows: int | None = None) -> DataFrame:
     """All scores per doctor, unrounded rates included. Staged, since many small reports read it."""
     mix = stage(case_mix)
     count = mix.count()

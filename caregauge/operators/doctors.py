@@ -27,7 +27,7 @@ from ..functions import (
 )
 from ..session import stage
 from .kpis import recovered
-from .ranking import WINDOW_ROWS, exact_quantiles, rank_over
+from .ranking import exact_quantiles, fits_window, rank_over
 
 DOCTOR_COLUMNS = ("doctor_id", "doctor_name", "specialization", "experience_years")
 
@@ -44,7 +44,7 @@ def _per_doctor(admissions: DataFrame, *extra) -> DataFrame:
 
 
 def doctor_scorecard(
-    doctors: DataFrame, admissions: DataFrame, window_rows: int = WINDOW_ROWS
+    doctors: DataFrame, admissions: DataFrame, window_rows: int | None = None
 ) -> DataFrame:
     """Doctors with at least one admission, ranked within their specialization by revenue and recovery."""
     count = doctors.count()
@@ -58,7 +58,7 @@ def doctor_scorecard(
         rounded(ratio("recoveries", "patients") * 100, 1).alias("recovery_rate_pct"),
         "readmissions",
     )
-    if count > window_rows:
+    if not fits_window(count, window_rows):
         cards = stage(cards)
     for value, name in (("revenue", "dept_revenue_rank"), ("recovery_rate_pct", "dept_recovery_rank")):
         cards = rank_over(
@@ -93,7 +93,7 @@ def api_doctors(doctors: DataFrame, admissions: DataFrame, top: int = 10) -> Dat
 
 
 def doctor_monthly_productivity(
-    doctors: DataFrame, admissions: DataFrame, window_rows: int = WINDOW_ROWS
+    doctors: DataFrame, admissions: DataFrame, window_rows: int | None = None
 ) -> DataFrame:
     """Average of the monthly revenues (each rounded to whole units first), ranked per specialization."""
     count = doctors.count()
@@ -119,7 +119,7 @@ def doctor_monthly_productivity(
         )
         .withColumn("average", ratio("revenue", "revenue_months"))
     )
-    if count > window_rows:
+    if not fits_window(count, window_rows):
         named = stage(named)
     ranked = rank_over(
         named, "average", "rank_in_dept", rows=count, groups=["specialization"], window_rows=window_rows
@@ -136,7 +136,7 @@ def doctor_monthly_productivity(
 
 
 def report_doctor_tiers(
-    doctors: DataFrame, admissions: DataFrame, top: int = 30, window_rows: int = WINDOW_ROWS
+    doctors: DataFrame, admissions: DataFrame, top: int = 30, window_rows: int | None = None
 ) -> DataFrame:
     """Top doctors by revenue with a tier from the exact quartile and median over all doctors."""
     count = doctors.count()
@@ -152,7 +152,7 @@ def report_doctor_tiers(
         "patients",
         as_double(F.bround(money("revenue"), 0)).alias("revenue"),
         round_half_even("avg_bill", 0).alias("avg_bill"),
-        round_half_even(pct("recoveries", "patients"), 1).alias("recovery_rate_pct"),
+        round_half_even(ratio("recoveries", "patients") * 100, 1).alias("recovery_rate_pct"),
         "readmissions",
         F.when(F.col("revenue") > F.col("limits.upper"), "Top")
         .when(F.col("revenue") > F.col("limits.median"), "Good")

@@ -20,6 +20,12 @@ from ..session import stage
 # A frame known to have at most this many rows may be ordered by one task.
 WINDOW_ROWS = 1_000_000
 
+
+def fits_window(rows: int, window_rows: int | None = None) -> bool:
+    """Whether a frame of at most `rows` rows may be ordered by one task."""
+    return rows <= (WINDOW_ROWS if window_rows is None else window_rows)
+
+
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, row position below
 _POSITION_MASK = (1 << _POSITION_BITS) - 1
 
@@ -147,7 +153,7 @@ def rank_over(
     groups: Sequence[str] = (),
     descending: bool = True,
     method: str = "rank",
-    window_rows: int = WINDOW_ROWS,
+    window_rows: int | None = None,
 ) -> DataFrame:
     """Add a rank of `value`, per group if groups are given. Nulls come last.
 
@@ -157,7 +163,7 @@ def rank_over(
     joined back; a value with very many rows is split by the adaptive skew join. df is then read
     twice and should be staged.
     """
-    if rows <= window_rows:
+    if fits_window(rows, window_rows):
         return _rank_by_window(df, value, name, groups, descending, method)
     positions = _value_positions(df, groups, value, descending).select(
         *(F.col(c).alias(f"_k_{c}") for c in [*groups, value]), _rank_from(method).alias(name)
@@ -175,7 +181,7 @@ def exact_quantiles(
     names: Sequence[str],
     *,
     rows: int,
-    window_rows: int = WINDOW_ROWS,
+    window_rows: int | None = None,
 ) -> DataFrame:
     """One row of exact quantiles with linear interpolation, nulls ignored.
 
@@ -183,7 +189,7 @@ def exact_quantiles(
     Beyond that the needed ranks are looked up in the distributed order.
     """
     present = df.select(F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if rows <= window_rows:
+    if fits_window(rows, window_rows):
         return present.agg(
             *(F.percentile("_v", p).alias(n) for p, n in zip(probabilities, names, strict=True))
         )

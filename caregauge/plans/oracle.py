@@ -500,7 +500,7 @@ def _doctors() -> dict[str, str]:
                          quantile_cont({_dbl('revenue')}, 0.5) AS median_q FROM m)
             SELECT doctor_name, specialization, experience_years, patients,
                    {_dbl(_even_units('revenue'))} AS revenue, {_even('avg_bill', 0)} AS avg_bill,
-                   {_even(_pct('recoveries', 'patients'), 1)} AS recovery_rate_pct, readmissions,
+                   {_even(_ratio('recoveries', 'patients') + ' * 100', 1)} AS recovery_rate_pct, readmissions,
                    CASE WHEN revenue > upper_q THEN 'Top' WHEN revenue > median_q THEN 'Good'
                         ELSE 'Avg' END AS performance
             FROM m, q ORDER BY m.revenue DESC, doctor_id LIMIT 30""",

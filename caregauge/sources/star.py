@@ -4,12 +4,17 @@ lineitem is the admission fact; orders, supplier, part and customer supply its a
 dimensions that the requested columns need are joined. All of them are LEFT joins on a unique key, so
 leaving one out never changes the rows. Customer attributes are attached to orders first: the fact is
 then shuffled once for both, and never by customer.
+
+The optimizer estimates a join of two dimensions by the product of their sizes and would shuffle the fact
+for it. So a joined dimension whose files are below the session's broadcast threshold is marked for
+broadcast here; a larger one is left to a shuffled join, where adaptive execution splits hot keys.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import cents
 
@@ -61,6 +66,15 @@ _SALE_COLUMNS = {
 }
 
 
+# Schemas found so far. Every inference starts a job that reads footers.
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def file_bytes(table: DataFrame) -> int:
+    """Size of a table's files, as the optimizer sees it."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 class StarTables:
     """Encounter tables over one folder of star-schema Parquet tables."""
 
@@ -69,7 +83,17 @@ class StarTables:
         self.folder = folder.rstrip("/")
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        path = f"{self.folder}/{table}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+    def _broadcast_if_small(self, dimension: DataFrame, *tables: DataFrame) -> DataFrame:
+        """Mark a dimension built from the given tables, if their files together are small enough."""
+        limit = self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        if sum(map(file_bytes, tables)) <= limit:
+            return F.broadcast(dimension)
+        return dimension
 
     def _nation(self) -> DataFrame:
         return self.raw("nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -77,15 +101,16 @@ class StarTables:
     def _supplier(self) -> DataFrame:
         supplier = self.raw("supplier")
         nation = self._nation()
-        return supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left").select(
+        joined = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left").select(
             "s_suppkey", "s_name", F.col("n_name").alias("s_nation")
         )
+        return self._broadcast_if_small(joined, supplier)
 
     def _customer(self) -> DataFrame:
         customer = self.raw("customer")
         nation = self._nation()
         region = self.raw("region")
-        return (
+        joined = (
             customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
             .join(region, nation.n_regionkey == region.r_regionkey, "left")
             .select(
@@ -96,6 +121,7 @@ class StarTables:
                 F.col("r_name").alias("c_region"),
             )
         )
+        return self._broadcast_if_small(joined, customer)
 
     def _orders_with_customer(self) -> DataFrame:
         orders, customer = self.raw("orders"), self._customer()
@@ -106,7 +132,11 @@ class StarTables:
         needs = {dim for c in columns for dim in _ADMISSION_COLUMNS[c][0]}
         fact = self.raw("lineitem")
         if "orders" in needs:
-            orders = self._orders_with_customer() if "customer" in needs else self.raw("orders")
+            orders = self.raw("orders")
+            if "customer" in needs:
+                orders = self._broadcast_if_small(
+                    self._orders_with_customer(), orders, self.raw("customer")
+                )
             fact = fact.join(orders, fact.l_orderkey == orders.o_orderkey, "left")
         if "supplier" in needs:
             supplier = self._supplier()

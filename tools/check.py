@@ -15,6 +15,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from caregauge.operators import ranking
 from caregauge.plans.catalog import TABLES, all_queries
 from caregauge.plans.oracle import all_sql
 from caregauge.session import build_session
@@ -49,6 +50,9 @@ def connect(folder: str):
 if __name__ == "__main__":
     parser = argparse.ArgumentParser()
     parser.add_argument("--dir", default="/root/testdata/sf0.01")
+    parser.add_argument(
+        "--large", action="store_true", help="take the paths for large inputs: no broadcast, no plain rank windows"
+    )
     parser.add_argument("names", nargs="*")
     options = parser.parse_args()
     spark = build_session(
@@ -58,8 +62,11 @@ if __name__ == "__main__":
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            **({"spark.sql.autoBroadcastJoinThreshold": "-1"} if options.large else {}),
         },
     )
+    if options.large:
+        ranking.WINDOW_ROWS = 0
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(options.dir)
     for query in options.names or all_queries():
