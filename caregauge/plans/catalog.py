@@ -595,14 +595,16 @@ def attribution_scores_from_model(t):
 
 def _case_mix(t: StarTables) -> DataFrame:
     """Case mix with the readmission rate of the (department, severity) cell as the expected probability."""
-    facts = t.admissions(
-        "doctor_id",
-        "patient_id",
-        "department_name",
-        "severity",
-        "readmitted_30days",
-        "total_bill",
-        "outcome",
+    facts = stage(
+        t.admissions(
+            "doctor_id",
+            "patient_id",
+            "department_name",
+            "severity",
+            "readmitted_30days",
+            "total_bill",
+            "outcome",
+        )
     )
     cells = (
         facts.groupBy("department_name", "severity")
