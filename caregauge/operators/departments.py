@@ -197,7 +197,7 @@ def insurance_breakdown(admissions: DataFrame, good: float = 60, moderate: float
         )
     )
     gap = F.col("billed") - F.col("covered") - F.col("collected")
-    coverage = pct("covered", "billed")
+    coverage = ratio(cents_to_double("covered"), cents_to_double("billed")) * 100
     return insurers.select(
         "insurance_provider",
         "claims",

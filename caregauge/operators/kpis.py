@@ -9,11 +9,11 @@ from ..functions import (
     average_money,
     cents_sum,
     cents_to_double,
+    count_true,
     pct,
     ratio,
     rounded,
     rows,
-    share_true,
 )
 
 CRORE = 1e7
@@ -29,12 +29,20 @@ def _kpi_columns() -> dict[str, Column]:
         "total_revenue": cents_to_double(cents_sum("total_bill")),
         "avg_bill": average_money("total_bill"),
         "avg_los": F.avg("length_of_stay"),
-        "readmission_rate": pct(F.sum("readmitted_30days"), rows()),
-        "insurance_pct": pct(cents_sum("insurance_covered"), cents_sum("total_bill")),
-        "recovery_rate": share_true(recovered()),
+        "readmission_rate": F.avg("readmitted_30days") * 100,
+        "insurance_pct": ratio(
+            cents_to_double(cents_sum("insurance_covered")), cents_to_double(cents_sum("total_bill"))
+        )
+        * 100,
+        "recovery_rate": ratio(count_true(recovered()), rows()) * 100,
     }
 
 
+def _sql_kpi_columns() -> dict[str, Column]:
+    """As above, but rows without a readmission flag count in the rate's denominator."""
+    return {**_kpi_columns(), "readmission_rate": pct(F.sum("readmitted_30days"), rows())}
+
+
 def kpi_overview(admissions: DataFrame) -> DataFrame:
     """The eight headline KPIs, unrounded."""
     return admissions.agg(*(column.alias(name) for name, column in _kpi_columns().items()))
@@ -42,7 +50,8 @@ def kpi_overview(admissions: DataFrame) -> DataFrame:
 
 def api_kpis(admissions: DataFrame) -> DataFrame:
     """The eight KPIs rounded for display, revenue in crore."""
-    return kpi_overview(admissions).select(
+    summary = admissions.agg(*(column.alias(name) for name, column in _sql_kpi_columns().items()))
+    return summary.select(
         rounded(ratio("total_revenue", F.lit(CRORE)), 2).alias("total_revenue_crore"),
         "total_admissions",
         "unique_patients",
@@ -65,7 +74,7 @@ def executive_kpis(admissions: DataFrame) -> DataFrame:
     top_department = (
         departments.orderBy(F.desc("revenue"), F.asc("department_name")).limit(1).select("department_name")
     )
-    columns = _kpi_columns()
+    columns = _sql_kpi_columns()
     columns["recoveries"] = F.count_if(recovered())
     summary = admissions.agg(*(column.alias(name) for name, column in columns.items()))
     return summary.select(

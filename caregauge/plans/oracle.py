@@ -171,6 +171,7 @@ def _departments() -> dict[str, str]:
     high, medium = c.COVERAGE
     los_high, los_medium = c.LOS
     coverage = _pct("sum(insurance_covered)", "sum(total_bill)")
+    covered_pct = f"({_ratio('sum(insurance_covered)', 'sum(total_bill)')} * 100)"
     pivot = ", ".join(
         f"coalesce(avg(CASE WHEN severity = '{s}' THEN readmitted_30days END) * 100, 0.0) AS \"{s}\""
         for s in c.SEVERITIES
@@ -302,8 +303,8 @@ def _departments() -> dict[str, str]:
                    {_dbl('sum(total_bill) - sum(insurance_covered) - sum(patient_paid)')} AS gap,
                    greatest({_dbl('sum(total_bill) - sum(insurance_covered) - sum(patient_paid)')}, 0.0)
                      AS gap_clipped,
-                   {coverage} AS coverage_pct,
-                   CASE WHEN {coverage} >= {high} THEN 'good' WHEN {coverage} >= {medium}
+                   {covered_pct} AS coverage_pct,
+                   CASE WHEN {covered_pct} >= {high} THEN 'good' WHEN {covered_pct} >= {medium}
                         THEN 'moderate' ELSE 'low' END AS coverage_band
             FROM admissions WHERE insurance_provider IS NOT NULL GROUP BY 1""",
         "report_dept_summary": _with(ADMISSIONS, summary) + "SELECT * FROM shares",
@@ -438,8 +439,11 @@ def _kpis() -> dict[str, str]:
         "kpi_overview": _with(ADMISSIONS) + f"""
             SELECT count(DISTINCT patient_id) AS unique_patients, count(*) AS total_admissions,
                    {_dbl('sum(total_bill)')} AS total_revenue, {AVG_BILL} AS avg_bill,
-                   avg(length_of_stay) AS avg_los, {READMITTED} AS readmission_rate,
-                   {coverage} AS insurance_pct, {RECOVERED} AS recovery_rate
+                   avg(length_of_stay) AS avg_los,
+                   avg(readmitted_30days) * 100 AS readmission_rate,
+                   {_ratio('sum(insurance_covered)', 'sum(total_bill)')} * 100 AS insurance_pct,
+                   {_ratio("count(*) FILTER (outcome = 'Recovered')", 'count(*)')} * 100
+                     AS recovery_rate
             FROM admissions""",
         "api_severity": frequency("severity"),
         "api_outcomes": frequency("outcome"),
