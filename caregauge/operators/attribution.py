@@ -19,15 +19,10 @@ from ..functions import (
     rows,
 )
 from ..session import stage
+from .fixed import CORRELATION_LIMIT, HIDDEN_STAR, OVERLOADED, QUALITY_GAP, SOLID
 from .kpis import recovered
 from .ranking import exact_quantiles, rank_over
 
-# Quadrant names.
-HIDDEN_STAR = "Hidden Star"
-OVERLOADED = "Overloaded"
-SOLID = "Solid"
-QUALITY_GAP = "Quality Gap"
-
 SCORE_COLUMNS = (
     "doctor_name",
     "specialization",
@@ -43,8 +38,6 @@ SCORE_COLUMNS = (
     "rank_shift",
 )
 
-VERDICT_LIMIT = 0.1
-
 
 def doctor_case_mix(scored: DataFrame, doctors: DataFrame) -> DataFrame:
     """Counts and rates per doctor. Admissions are summed by doctor_id before doctors are joined.
@@ -195,8 +188,8 @@ def experience_effect(scores: DataFrame) -> DataFrame:
     )
     return fit.withColumn(
         "verdict",
-        F.when(F.col("pearson_r") < -VERDICT_LIMIT, "experienced doctors perform better")
-        .when(F.col("pearson_r") > VERDICT_LIMIT, "experience does not predict quality")
+        F.when(F.col("pearson_r") < -CORRELATION_LIMIT, "experienced doctors perform better")
+        .when(F.col("pearson_r") > CORRELATION_LIMIT, "experience does not predict quality")
         .otherwise("no strong relationship"),
     )
 

@@ -27,6 +27,7 @@ from ..functions import (
     rows,
     share_true,
 )
+from . import fixed
 from .kpis import recovered
 
 def _all_groups() -> WindowSpec:
@@ -80,7 +81,9 @@ def api_departments(admissions: DataFrame) -> DataFrame:
 
 
 def department_matrix(
-    admissions: DataFrame, top: int = 3, los_high: float = 5, los_medium: float = 3
+    admissions: DataFrame,
+    top: int = fixed.TOP_DEPARTMENTS,
+    los_limits: tuple[float, float] = fixed.STAY_LIMITS,
 ) -> DataFrame:
     """Department metrics with a top-revenue flag, a stay band, and the mean of the department stays."""
     departments = (
@@ -95,18 +98,23 @@ def department_matrix(
         )
     )
     by_revenue = W.orderBy(F.desc("revenue"), "department_name")
+    long, medium, short = fixed.STAY_BANDS
     return departments.select(
         "*",
         (F.row_number().over(by_revenue) <= top).alias("top_revenue"),
-        F.when(F.col("avg_los") > los_high, "long")
-        .when(F.col("avg_los") > los_medium, "medium")
-        .otherwise("short")
+        F.when(F.col("avg_los") > los_limits[0], long)
+        .when(F.col("avg_los") > los_limits[1], medium)
+        .otherwise(short)
         .alias("los_band"),
         F.avg("avg_los").over(_all_groups()).alias("mean_department_los"),
     ).orderBy("revenue")
 
 
-def readmission_by_dept_severity(admissions: DataFrame, min_rows: int = 20, top: int = 20) -> DataFrame:
+def readmission_by_dept_severity(
+    admissions: DataFrame,
+    min_rows: int = fixed.MIN_SEVERITY_ROWS,
+    top: int = fixed.TOP_SEVERITY_CELLS,
+) -> DataFrame:
     """(department, severity) cells with enough rows, highest readmission rate first."""
     return (
         admissions.groupBy("department_name", "severity")
@@ -143,7 +151,9 @@ def readmission_severity_pivot(admissions: DataFrame, severities: Sequence[str])
     )
 
 
-def insurer_leakage(admissions: DataFrame, high: float = 70, medium: float = 40) -> DataFrame:
+def insurer_leakage(
+    admissions: DataFrame, limits: tuple[float, float] = fixed.COVERAGE_LIMITS
+) -> DataFrame:
     """Billed, paid and missing amounts per insurer; the class uses the unrounded coverage."""
     billed, covered, paid = (
         cents_sum(c) for c in ("total_bill", "insurance_covered", "patient_paid")
@@ -151,6 +161,7 @@ def insurer_leakage(admissions: DataFrame, high: float = 70, medium: float = 40)
     # The gap is summed row by row, so a row with a missing part counts as missing there too.
     gap = F.sum(cents("total_bill") - cents("insurance_covered") - cents("patient_paid"))
     coverage = pct(covered, billed)
+    high, medium, low = fixed.COVERAGE_LABELS
     return (
         admissions.groupBy("insurance_provider")
         .agg(
@@ -161,16 +172,16 @@ def insurer_leakage(admissions: DataFrame, high: float = 70, medium: float = 40)
             cents_to_double(gap).alias("revenue_gap"),
             rounded(coverage, 1).alias("insurer_coverage_pct"),
             rounded(average_money("total_bill"), 0).alias("avg_claim_value"),
-            F.when(coverage >= high, "High Coverage")
-            .when(coverage >= medium, "Medium Coverage")
-            .otherwise("Low Coverage")
+            F.when(coverage >= limits[0], high)
+            .when(coverage >= limits[1], medium)
+            .otherwise(low)
             .alias("coverage_category"),
         )
         .orderBy(F.desc("total_billed"), "insurance_provider")
     )
 
 
-def api_insurance(admissions: DataFrame, top: int = 8) -> DataFrame:
+def api_insurance(admissions: DataFrame, top: int = fixed.TOP_INSURERS) -> DataFrame:
     return (
         admissions.groupBy("insurance_provider")
         .agg(
@@ -184,7 +195,9 @@ def api_insurance(admissions: DataFrame, top: int = 8) -> DataFrame:
     )
 
 
-def insurance_breakdown(admissions: DataFrame, good: float = 60, moderate: float = 35) -> DataFrame:
+def insurance_breakdown(
+    admissions: DataFrame, limits: tuple[float, float] = fixed.COVERAGE_BAND_LIMITS
+) -> DataFrame:
     """Unrounded insurer totals, the gap clipped at zero, and the chart's coverage band."""
     insurers = (
         admissions.where(F.col("insurance_provider").isNotNull())
@@ -198,6 +211,7 @@ def insurance_breakdown(admissions: DataFrame, good: float = 60, moderate: float
     )
     gap = F.col("billed") - F.col("covered") - F.col("collected")
     coverage = ratio(cents_to_double("covered"), cents_to_double("billed")) * 100
+    good, moderate, low = fixed.COVERAGE_BANDS
     return insurers.select(
         "insurance_provider",
         "claims",
@@ -205,14 +219,16 @@ def insurance_breakdown(admissions: DataFrame, good: float = 60, moderate: float
         cents_to_double(gap).alias("gap"),
         cents_to_double(F.greatest(gap, F.lit(0))).alias("gap_clipped"),
         coverage.alias("coverage_pct"),
-        F.when(coverage >= good, "good")
-        .when(coverage >= moderate, "moderate")
-        .otherwise("low")
+        F.when(coverage >= limits[0], good)
+        .when(coverage >= limits[1], moderate)
+        .otherwise(low)
         .alias("coverage_band"),
     ).orderBy(F.desc("billed"), "insurance_provider")
 
 
-def top_procedures(procedures: DataFrame, admissions: DataFrame, top: int = 20) -> DataFrame:
+def top_procedures(
+    procedures: DataFrame, admissions: DataFrame, top: int = fixed.TOP_PROCEDURES
+) -> DataFrame:
     """Procedures by (name, admitting department); the quartile is taken over all groups, before the limit."""
     parents = admissions.select("admission_id", "department_name")
     groups = (
@@ -278,7 +294,11 @@ def yoy_pivot(admissions: DataFrame, years: Sequence[int]) -> DataFrame:
     ).orderBy(F.desc(growth), "department_name")
 
 
-def diagnosis_rank(admissions: DataFrame, min_cases: int = 15, top: int = 25) -> DataFrame:
+def diagnosis_rank(
+    admissions: DataFrame,
+    min_cases: int = fixed.MIN_DIAGNOSIS_CASES,
+    top: int = fixed.TOP_DIAGNOSES,
+) -> DataFrame:
     """(diagnosis, department) groups with enough cases; dense ranks before the limit."""
     groups = (
         admissions.groupBy("diagnosis", "department_name")
@@ -347,7 +367,9 @@ def report_dept_total_row(summary: DataFrame) -> DataFrame:
     return summary.unionByName(total)
 
 
-def report_diagnosis_top(admissions: DataFrame, top: int = 25, risk: float = 0.15) -> DataFrame:
+def report_diagnosis_top(
+    admissions: DataFrame, top: int = fixed.TOP_DIAGNOSES, risk: float = fixed.READMISSION_RISK
+) -> DataFrame:
     """Most frequent (diagnosis, department) groups, flagged when the readmission rate is above risk."""
     groups = (
         admissions.where(F.col("diagnosis").isNotNull() & F.col("department_name").isNotNull())
@@ -376,7 +398,9 @@ def report_diagnosis_top(admissions: DataFrame, top: int = 25, risk: float = 0.1
     )
 
 
-def success_rate_vs_benchmark(admissions: DataFrame, benchmark: float = 90) -> DataFrame:
+def success_rate_vs_benchmark(
+    admissions: DataFrame, benchmark: float = fixed.SUCCESS_BENCHMARK
+) -> DataFrame:
     """Percentage of recovered or improved outcomes per department, against a target."""
     return (
         admissions.groupBy("department_name")

@@ -26,6 +26,7 @@ from ..functions import (
     rows,
 )
 from ..session import stage
+from .fixed import TIER_LABELS, TOP_DOCTORS, TOP_TIER_DOCTORS
 from .kpis import recovered
 from .ranking import exact_quantiles, fits_window, rank_over
 
@@ -71,7 +72,7 @@ def doctor_scorecard(
     )
 
 
-def api_doctors(doctors: DataFrame, admissions: DataFrame, top: int = 10) -> DataFrame:
+def api_doctors(doctors: DataFrame, admissions: DataFrame, top: int = TOP_DOCTORS) -> DataFrame:
     """Top doctors by revenue. Doctors without admissions stay, with null revenue and 0 recovery."""
     return (
         doctors.join(_per_doctor(admissions), "doctor_id", "left")
@@ -136,7 +137,10 @@ def doctor_monthly_productivity(
 
 
 def report_doctor_tiers(
-    doctors: DataFrame, admissions: DataFrame, top: int = 30, window_rows: int | None = None
+    doctors: DataFrame,
+    admissions: DataFrame,
+    top: int = TOP_TIER_DOCTORS,
+    window_rows: int | None = None,
 ) -> DataFrame:
     """Top doctors by revenue with a tier from the exact quartile and median over all doctors."""
     count = doctors.count()
@@ -145,6 +149,7 @@ def report_doctor_tiers(
     quantiles = exact_quantiles(
         stats, "revenue", [0.75, 0.5], ["upper", "median"], rows=count, window_rows=window_rows
     )
+    best, good, average = TIER_LABELS
     limits = quantiles.select(F.struct("upper", "median")).scalar()
     leaders = stats.orderBy(F.desc("revenue"), "doctor_id").limit(top).withColumn("limits", limits)
     return leaders.select(
@@ -154,8 +159,8 @@ def report_doctor_tiers(
         round_half_even("avg_bill", 0).alias("avg_bill"),
         round_half_even(ratio("recoveries", "patients") * 100, 1).alias("recovery_rate_pct"),
         "readmissions",
-        F.when(F.col("revenue") > F.col("limits.upper"), "Top")
-        .when(F.col("revenue") > F.col("limits.median"), "Good")
-        .otherwise("Avg")
+        F.when(F.col("revenue") > F.col("limits.upper"), best)
+        .when(F.col("revenue") > F.col("limits.median"), good)
+        .otherwise(average)
         .alias("performance"),
     )

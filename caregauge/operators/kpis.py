@@ -15,8 +15,7 @@ from ..functions import (
     rounded,
     rows,
 )
-
-CRORE = 1e7
+from .fixed import CRORE
 
 def recovered() -> Column:
     return F.col("outcome") == "Recovered"

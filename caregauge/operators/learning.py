@@ -34,12 +34,16 @@ def bucket(key: str, buckets: int, salt: str = "") -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % buckets
 
 
-def balanced_weight(df: DataFrame, label: str) -> Column:
-    """Class weight n / (2 * n_class), from one small count."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+def label_counts(df: DataFrame, label: str) -> dict[int, int]:
+    """Rows per label; two numbers."""
+    return {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+
+
+def balanced_weight(counts: Mapping[int, int], label: str) -> Column:
+    """Class weight n / (2 * n_class)."""
     total = sum(counts.values())
-    return F.when(F.col(label) == 1, F.lit(total / (2 * counts.get(1, 1)))).otherwise(
-        F.lit(total / (2 * counts.get(0, 1)))
+    return F.when(F.col(label) == 1, F.lit(total / (2 * max(counts.get(1, 1), 1)))).otherwise(
+        F.lit(total / (2 * max(counts.get(0, 1), 1)))
     )
 
 

@@ -19,19 +19,9 @@ from ..functions import (
     rounded,
     rows,
 )
+from .fixed import AGE_LABELS, AGE_LIMITS, VISIT_LABELS
 from .ranking import ntile_over
 
-# Report labels.
-VISIT_LABELS = ("1 Visit (One-time)", "2 Visits", "3–4 Visits", "5+ Visits (High Value)")
-AGE_LABELS = (
-    "0–17 Pediatric",
-    "18–34 Young Adult",
-    "35–54 Middle Age",
-    "55–69 Senior",
-    "70+ Elderly",
-)
-AGE_LIMITS = (18, 35, 55, 70)
-
 
 def patient_visits(admissions: DataFrame) -> DataFrame:
     """Visits, first and last visit, lifetime value and average spend per patient."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
@@ -12,16 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import average_money, cents_sum, cents_to_double, rows
 from ..session import stage
+from .fixed import COMPLEX_CARE, FREQUENT, HIGH_VALUE, LOW_ENGAGEMENT
 
 FEATURES = ("total_spend", "visits", "avg_los", "readmissions", "age")
 PROFILE = ("total_spend", "visits", "avg_los")
 
-# Segment names.
-HIGH_VALUE = "High Value"
-FREQUENT = "Frequent"
-COMPLEX_CARE = "Complex Care"
-LOW_ENGAGEMENT = "Low Engagement"
-
 
 def segment_patients(
     features: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42
@@ -31,8 +27,11 @@ def segment_patients(
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="_raw").transform(staged)
     scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
     scaled = scaler.fit(assembled).transform(assembled)
-    runs = (KMeans(k=k, seed=seed + i, predictionCol="segment").fit(scaled) for i in range(restarts))
+    # Kept for all runs; a lost block is read again from the staged table.
+    points = scaled.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    runs = (KMeans(k=k, seed=seed + i, predictionCol="segment").fit(points) for i in range(restarts))
     best = min(runs, key=lambda model: model.summary.trainingCost)
+    points.unpersist()
     return best.transform(scaled).select(*features.columns, "segment")
 
 

@@ -20,6 +20,7 @@ from ..functions import (
     rounded,
     rows,
 )
+from .fixed import TREND_LABELS
 
 def _by_month() -> WindowSpec:
     return W.orderBy("month")
@@ -35,15 +36,16 @@ def _monthly(admissions: DataFrame, *extra) -> DataFrame:
 def monthly_mom_growth(admissions: DataFrame) -> DataFrame:
     """Month-over-month change. The first month has no predecessor and counts as flat."""
     months = _monthly(admissions).withColumn("previous", F.lag("revenue").over(_by_month()))
+    growth, decline, flat = TREND_LABELS
     return months.select(
         month_label("month").alias("year_month"),
         "admissions",
         cents_to_double("revenue").alias("revenue"),
         cents_to_double("previous").alias("prev_month_revenue"),
         rounded(pct(F.col("revenue") - F.col("previous"), "previous"), 2).alias("mom_growth_pct"),
-        F.when(F.col("revenue") > F.col("previous"), "Growth")
-        .when(F.col("revenue") < F.col("previous"), "Decline")
-        .otherwise("Flat")
+        F.when(F.col("revenue") > F.col("previous"), growth)
+        .when(F.col("revenue") < F.col("previous"), decline)
+        .otherwise(flat)
         .alias("trend"),
     ).orderBy("year_month")
 

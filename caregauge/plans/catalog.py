@@ -146,8 +146,7 @@ def readmission_by_dept_severity(t):
 
 @_query
 def insurer_leakage(t):
-    high, medium = COVERAGE
-    return dep.insurer_leakage(t.admissions("insurance_provider", *BILLS), high, medium)
+    return dep.insurer_leakage(t.admissions("insurance_provider", *BILLS), COVERAGE)
 
 
 @_query
@@ -192,8 +191,7 @@ def api_readmission_heatmap(t):
 @_query
 def department_matrix(t):
     columns = ("department_name", "total_bill", "length_of_stay", "readmitted_30days")
-    high, medium = LOS
-    matrix = dep.department_matrix(t.admissions(*columns), los_high=high, los_medium=medium)
+    matrix = dep.department_matrix(t.admissions(*columns), los_limits=LOS)
     return _round_columns(matrix, 6, "mean_department_los")
 
 
@@ -205,8 +203,7 @@ def readmission_severity_pivot(t):
 
 @_query
 def insurance_breakdown(t):
-    high, medium = COVERAGE
-    return dep.insurance_breakdown(t.admissions("insurance_provider", *BILLS), high, medium)
+    return dep.insurance_breakdown(t.admissions("insurance_provider", *BILLS), COVERAGE)
 
 
 @_query

@@ -5,7 +5,7 @@ The SQL states each result on its own. It shares only the parameter values with
 
 from __future__ import annotations
 
-from ..operators.patients import AGE_LABELS, AGE_LIMITS, VISIT_LABELS
+from ..operators.fixed import AGE_LABELS, AGE_LIMITS, VISIT_LABELS
 from . import catalog as c
 
 ADMISSIONS = """

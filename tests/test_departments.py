@@ -114,7 +114,7 @@ def test_same_diagnosis_in_two_departments_stays_apart(admissions):
 
 
 def test_matrix_flags(admissions):
-    rows = by(dep.department_matrix(admissions, top=1, los_high=4, los_medium=3).collect(), "department_name")
+    rows = by(dep.department_matrix(admissions, top=1, los_limits=(4, 3)).collect(), "department_name")
     assert rows["General"]["top_revenue"] and not rows["Cardio"]["top_revenue"]
     assert rows["General"]["los_band"] == "long" and rows["Cardio"]["los_band"] == "short"
     assert rows["Cardio"]["mean_department_los"] == pytest.approx((4.5 + 3) / 2)  # unweighted

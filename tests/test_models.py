@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caregauge.operators import readmission_model as forest
 from caregauge.operators import risk_model as risk
 from caregauge.operators import segmentation as seg
-from caregauge.operators.learning import balanced_weight, bucket, roc_auc, with_codes
+from caregauge.operators.learning import balanced_weight, bucket, label_counts, roc_auc, with_codes
 from caregauge.session import stage
 
 
@@ -60,7 +60,7 @@ def test_buckets_do_not_depend_on_partitions(spark):
 
 def test_class_weights_balance(spark):
     df = spark.createDataFrame([(1,), (0,), (0,), (0,)], "y int")
-    sums = df.withColumn("w", balanced_weight(df, "y")).groupBy("y").agg(F.sum("w").alias("s")).collect()
+    sums = df.withColumn("w", balanced_weight(label_counts(df, "y"), "y")).groupBy("y").agg(F.sum("w").alias("s")).collect()
     assert {r.y: r.s for r in sums} == {0: pytest.approx(2), 1: pytest.approx(2)}
 
 
