@@ -23,7 +23,7 @@ def segment_patients(
     features: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42
 ) -> DataFrame:
     """Add `segment`, the cluster of the best of several K-Means runs."""
-    staged = stage(features)
+    staged = stage(features, for_training=True)
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="_raw").transform(staged)
     scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
     scaled = scaler.fit(assembled).transform(assembled)

@@ -42,13 +42,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stage(df: DataFrame) -> DataFrame:
+def file_bytes(table: DataFrame) -> int:
+    """Size of a table's files, as the optimizer sees it."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def stage(df: DataFrame, for_training: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     Later reads see the same rows and row ids even after executors are lost, the lineage is cut, and
     the optimizer gets real sizes.
+
+    for_training: the table will be read many times by CPU-bound model fits. If it is so small that it
+    would leave cores idle, it is written again in more files (of a megabyte or larger).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    if for_training:
+        wanted = min(spark.sparkContext.defaultParallelism, file_bytes(staged) >> 20)
+        if staged.rdd.getNumPartitions() < wanted:
+            return stage(staged.repartition(wanted))
+    return staged

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import cents
+from ..session import file_bytes
 
 _BILL = "l_extendedprice"
 
@@ -70,11 +71,6 @@ _SALE_COLUMNS = {
 _SCHEMAS: dict[str, StructType] = {}
 
 
-def file_bytes(table: DataFrame) -> int:
-    """Size of a table's files, as the optimizer sees it."""
-    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 class StarTables:
     """Encounter tables over one folder of star-schema Parquet tables."""
 
