@@ -20,6 +20,7 @@ from ..session import stage
 from .common import SPACES, same, text_of
 
 PREFIX = 64
+BUCKETS = 1 << 18
 KEYS = ["doc_id", "_len", "_prefix"]
 
 
@@ -48,14 +49,20 @@ def _groups(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
         counts = frame.groupBy(*keys).agg(F.sum("_n").alias("_rows")).where("_rows > 1").drop("_rows")
         return frame.join(counts, keys, "left_semi")
 
-    # Keys that survive both rounds; rows meet their full hash by id, so a large group stays spread out.
     survivors = stage(repeated(repeated(narrow, ["_len"]), ["_len", "_prefix"]).select(*KEYS))
-    full = stage(
-        keyed.join(survivors, same(keyed, survivors, KEYS), "left_semi")
+    # Texts are hashed where they are read, and only hashes are shuffled. A row takes part if its key falls
+    # in a bucket that some survivor is in: at most BUCKETS rows to broadcast. The join by key is exact, and
+    # meets rows by id, so that a large group stays spread out.
+    bucket = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(BUCKETS)).alias("_bucket")
+    in_use = survivors.select(bucket).distinct()
+    hashed = (
+        keyed.select(*KEYS, "_norm", bucket)
+        .join(F.broadcast(in_use), "_bucket", "left_semi")
         .select(*KEYS, F.sha2("_norm", 256).alias("text_sha256"))
         .groupBy(*KEYS, "text_sha256")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    full = stage(hashed.join(survivors, same(hashed, survivors, KEYS), "left_semi"))
     group = ["_len", "_prefix", "text_sha256"]
     keepers = full.groupBy(*group).agg(
         F.min("doc_id").alias("keep_id"), F.sum("_n").alias("group_size")
