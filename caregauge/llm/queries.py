@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, language, mixing
+from . import chat, exactdedup, language, mixing, packing, quality, secrets
 from .common import fold, ship
 
 
@@ -35,9 +35,84 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    docs = _read(spark, folder, "documents")
+    labels = _read(spark, folder, "labels").select("doc_id", "quality").where(fold("doc_id", 5) != 0)
+    network = quality.train(docs.join(labels, "doc_id"))
+    scored = docs.select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        quality.quality_of(F.col("text"), network).alias("score"),
+    )
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+def pack_sequences(
+    spark: SparkSession, folder: str, tokenizer: str | None = None
+) -> DataFrame:
+    """tokenizer: path of the tokenizer's file, by default the public byte-level one."""
+    ship(spark)
+    docs = _read(spark, folder, "documents")
+    return packing.pack(packing.token_pieces(docs, tokenizer or default_tokenizer()))
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(_read(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(count(r.kind) for r in secrets.BASE),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"  # control strings as texts
+    roles = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    odd = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), roles.alias("role"), F.lit(said).alias("text")
+    )
+    turns = _read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = chat.format_chats(turns.unionByName(odd)).select(
+        "conv_id",
+        "valid",
+        chat.formatted(F.col("segments")).alias("formatted"),
+        chat.loss_text(F.col("segments")).alias("learned"),
+    )
+    back = found.withColumn("turns", chat.read_turns(F.col("formatted")))
+    written = F.array_join(
+        F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
+    )
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(written, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mix_sources,
+        "op2_secret_scan": secret_scan,
+        "op3_quality_classifier": quality_classifier,
         "op5_exact_dedup": exact_dedup,
+        "op6_pack_sequences": pack_sequences,
+        "op7_chat_format": chat_format,
         "op10_language_id": language_id,
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .secrets import BASE, MORE, Rule
+
 MIX_SOURCES = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -50,5 +52,68 @@ FROM texts WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+
+def _secret_scan() -> str:
+    """Positions add up from the pieces between matches and the matches, as regular expressions give no offsets."""
+
+    def spans(rule: Rule) -> str:
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        return f"""(
+      SELECT list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+               'at': (coalesce(list_sum(list_transform(b[1:i], lambda x: length(x))), 0)
+                      + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::INTEGER,
+               'n': length(m[i])::INTEGER, 'counted': length(g[i])::INTEGER}}), lambda s: s.counted >= {rule.least})
+      FROM (SELECT regexp_split_to_array(body, {pattern}) AS b, regexp_extract_all(body, {pattern}) AS m,
+                   regexp_extract_all(body, {pattern}, {rule.group}) AS g))"""
+
+    rules = BASE + MORE
+    columns = ",\n    ".join(f"{spans(r)} AS s{i}" for i, r in enumerate(rules))
+
+    def labels(upto: int) -> str:
+        parts = ", ".join(
+            f"list_transform(s{i}, lambda s: {{'at': s.at, 'rank': {i}, 'label': '{r.kind}:' || s.at || ':' || (s.at + s.n)}})"
+            for i, r in enumerate(rules[:upto])
+        )
+        return f"array_to_string(list_transform(list_sort(flatten([{parts}])), lambda s: s.label), ',')"
+
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+found AS (SELECT doc_id, {columns} FROM texts)
+SELECT doc_id, len(s0)::BIGINT AS n_assign, len(s1)::BIGINT AS n_access, len(s2)::BIGINT AS n_hex,
+       sha256({labels(len(BASE))}) AS base_sha256, {labels(len(rules))} AS spans
+FROM found
+"""
+
+
+CHAT_FORMAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), written AS (
+  SELECT *, length(regexp_replace(regexp_replace(replace(text, '\', '\\'), '(<)(/?s>|</?SYS>>)', '\1\\\2', 'g'),
+                                  '(\[)(/?INST\]|/?ROLE\]|TEXT\])', '\1\\\2', 'g'))
+            + CASE role WHEN 'system' THEN 16 WHEN 'user' THEN 18 WHEN 'assistant' THEN 6
+              ELSE length(role) + 19 END AS chars,
+         lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn, role, text) || '>' || role AS step
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), ''))
+         AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars,
+       bool_and(step IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user'))
+         AND arg_max(role, turn) IN ('user', 'assistant') AS valid
+FROM written GROUP BY conv_id
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {"op1_mix_sources": MIX_SOURCES, "op5_exact_dedup": EXACT_DEDUP}
+    return {
+        "op1_mix_sources": MIX_SOURCES,
+        "op2_secret_scan": _secret_scan(),
+        "op5_exact_dedup": EXACT_DEDUP,
+        "op7_chat_format": CHAT_FORMAT,
+    }
