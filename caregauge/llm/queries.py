@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exactdedup, language, mixing, packing, quality, secrets
+from . import chat, exactdedup, language, mixing, neardup, packing, quality, secrets
 from .common import fold, ship
 
 
@@ -106,11 +106,18 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    found = neardup.near_classes(_read(spark, folder, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mix_sources,
         "op2_secret_scan": secret_scan,
         "op3_quality_classifier": quality_classifier,
+        "op4_near_dedup": near_dedup,
         "op5_exact_dedup": exact_dedup,
         "op6_pack_sequences": pack_sequences,
         "op7_chat_format": chat_format,
