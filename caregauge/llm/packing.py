@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,53 +26,88 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import global_position
 from ..session import stage
-from .common import by_bytes
 
 CAPACITY = 2048
 END = 0
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
-_RUN_CHARS = 1_000_000
 _SPACE_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
+_ENDS = ".,:;!?|"  # ASCII that is neither letter, digit, blank nor apostrophe, common at the end of words
+# Fixed value: the pattern by which byte-level BPE cuts text.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Tokens:
-    """Token ids of texts, with the words seen so far remembered.
+def _byte_letters() -> dict[int, str]:
+    """Which letter stands for which byte in a byte-level vocabulary: itself if printable, else from 256 on."""
+    table, unused = {}, iter(range(256, 512))
+    for b in range(256):
+        printable = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+        table[b] = chr(b if printable else next(unused))
+    return table
+
+
+class Tokens(dict):
+    """Token ids of texts by a byte-level BPE; a dict from words (with a space before) to the bytes of their ids.
 
     Byte-level BPE never joins across a space that stands before a word, so a text may be cut there and its
     words looked up one by one. A text where a space precedes white space or ends the text is encoded whole.
+    Words and the parts they are cut into are remembered, up to a bound; that changes no result.
     """
 
-    REMEMBERED = 600_000  # words; the memory is emptied beyond that
+    WORDS = 1_000_000
+    PARTS = 500_000
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.words) + len(self.firsts) > self.REMEMBERED:
-            self.words.clear()
-            self.firsts.clear()
-        cut = [None if _SPACE_BEFORE_SPACE.search(t) else t.split(" ") for t in texts]
-        new = list({w for parts in cut if parts for w in parts[1:]} - self.words.keys())
-        self.words.update(zip(new, self._encode([f" {w}" for w in new]), strict=True))
-        heads = list({parts[0] for parts in cut if parts} - self.firsts.keys())
-        self.firsts.update(zip(heads, self._encode(heads), strict=True))
-        return [
-            self._encode([text])[0]
-            if parts is None
-            else self.firsts[parts[0]] + b"".join(map(self.words.__getitem__, parts[1:]))
-            for text, parts in zip(texts, cut, strict=True)
-        ]
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.cut = regex.compile(_CUT).findall
+        self.parts: dict[str, bytes] = {}
+        sample = "It's an Übung, (no. 12)!\n done"
+        if self.of(sample) != self._whole(sample):
+            raise ValueError(f"{path} is not a byte-level BPE without normalisation")
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one piece of the pattern."""
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= self.PARTS:
+                self.parts.clear()
+            written = part.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            self.parts[part] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self._part, self.cut(chunk)))
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.WORDS:
+            self.clear()
+        letters = word.rstrip(_ENDS)
+        if letters.isalpha() and letters.isprintable() and max(letters) < "\u0250":
+            found = self._part(f" {letters}")
+            if len(letters) < len(word):
+                found += self._part(word[len(letters) :])
+        else:
+            found = self._chunk(f" {word}")
+        self[word] = found
+        return found
+
+    def of(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
+        if _SPACE_BEFORE_SPACE.search(text):
+            return self._whole(text)
+        first, *words = text.split(" ")
+        return self._chunk(first) + b"".join(map(self.__getitem__, words))
 
 
 _tokens: dict[str, Tokens] = {}  # of this worker process, by tokenizer file
@@ -101,19 +137,17 @@ def token_pieces(
         F.col(id_column).alias("doc_id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
     )
-    end = np.array([END], "<u4").tobytes()
+    end = array("I", [END]).tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tokens(tokenizer)
         for batch in batches:
             rows = []
-            pairs = list(zip(batch["doc_id"], batch["text"], strict=True))
-            for run in by_bytes(pairs, lambda pair: len(pair[1]), _RUN_CHARS):
-                for (doc_id, _), ids in zip(run, encoder.of([t for _, t in run]), strict=True):
-                    ids += end
-                    for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                        crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                        rows.append((doc_id, i, start, length, crc))
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids = encoder.of(text) + end
+                for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
+                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
+                    rows.append((doc_id, i, start, length, crc))
             frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             frame["doc_id"] = frame["doc_id"].astype(batch["doc_id"].dtype)
             yield frame
