@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exactdedup, language, mixing, neardup, packing, quality, secrets
+from . import chat, exactdedup, language, mixing, neardup, packing, quality, secrets, substrings
 from .common import fold, ship
 
 
@@ -112,6 +112,11 @@ def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return substrings.cut_texts(_read(spark, folder, "documents")).drop("kept")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mix_sources,
@@ -121,5 +126,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": exact_dedup,
         "op6_pack_sequences": pack_sequences,
         "op7_chat_format": chat_format,
+        "op8_substring_dedup": substring_dedup,
         "op10_language_id": language_id,
     }
