@@ -161,27 +161,35 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def train(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     text_column: str = "text",
     label_column: str = "quality",
     id_column: str = "doc_id",
     sample: int = SAMPLE,
 ) -> Network | None:
-    """A network fitted on at most `sample` of the labelled rows; None if there are none."""
-    rows = (
-        labelled.where(F.col(label_column).isNotNull())
+    """A network fitted on the texts of at most `sample` labelled ids; None if there are none.
+
+    The ids are chosen from the labels alone, so at most `sample` rows are broadcast, and no text is shuffled.
+    """
+    chosen = (
+        labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
         .select(
-            F.encode(F.coalesce(F.col(text_column).cast("string"), F.lit("")), "UTF-8").alias("text"),
-            F.col(label_column).cast("double").alias("label"),
             F.xxhash64(F.col(id_column)).alias("place"),
             F.col(id_column).alias("id"),
+            F.col(label_column).cast("double").alias("label"),
         )
-        .orderBy("place", "id", "text")
+        .orderBy("place", "id", "label")
         .limit(sample)
-        .collect()
     )
+    texts = docs.select(
+        F.col(id_column).alias("_id"),
+        F.encode(F.coalesce(F.col(text_column).cast("string"), F.lit("")), "UTF-8").alias("text"),
+    )
+    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("id")).select("place", "id", "label", "text").collect()
     if not rows:
         return None
+    rows.sort(key=tuple)  # the order in which tasks answer must not matter
     return fit([bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows]))
 
 

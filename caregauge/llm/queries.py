@@ -39,7 +39,7 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     docs = _read(spark, folder, "documents")
     labels = _read(spark, folder, "labels").select("doc_id", "quality").where(fold("doc_id", 5) != 0)
-    network = quality.train(docs.join(labels, "doc_id"))
+    network = quality.train(docs, labels)
     scored = docs.select(
         "doc_id",
         (fold("doc_id", 5) == 0).alias("held_out"),
