@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exactdedup, language, mixing, neardup, packing, quality, secrets, substrings
+from . import chat, exactdedup, fingerprint, language, mixing, neardup, packing, quality, secrets, substrings
 from .common import fold, ship
 
 
@@ -117,6 +117,46 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.cut_texts(_read(spark, folder, "documents")).drop("kept")
 
 
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = fingerprint.versions(_read(spark, folder, "documents")).select(
+        "doc_id",
+        F.col("n_chars").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.word_hashes(F.col("text")).alias("own"),
+        fingerprint.word_hashes(F.col("edited")).alias("changed"),
+        F.col("next_words").alias("next"),
+        "copies",
+    )
+    levels = pairs.select(
+        "*", *(fingerprint.coarseness(F.size(c)).alias(f"every_{c}") for c in ("own", "changed", "next"))
+    )
+
+    def cut(words: str, *every: str) -> Column:
+        """Paragraphs at the coarsest of the levels, as two texts need the same one."""
+        return fingerprint.paragraphs(F.col(words), F.greatest(*every) if every[1:] else F.col(every[0]))
+
+    pieces = levels.select(
+        "doc_id", "n_chars", "edited_sha256", "copies", "every_own", "every_changed",
+        cut("own", "every_own").alias("own_cut"),
+        cut("changed", "every_changed").alias("changed_cut"),
+        cut("own", "every_own", "every_changed").alias("own_for_changed"),
+        cut("changed", "every_own", "every_changed").alias("changed_for_own"),
+        cut("own", "every_own", "every_next").alias("own_for_next"),
+        cut("next", "every_own", "every_next").alias("next_for_own"),
+    )
+    found = pieces.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint.written(F.col("own_cut"), F.col("every_own")).alias("fingerprint"),
+        fingerprint.written(F.col("changed_cut"), F.col("every_changed")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("own_for_changed"), F.col("changed_for_own")).alias("near_edited"),
+        fingerprint.likeness(F.col("own_for_next"), F.col("next_for_own")).alias("near_next"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
+    )
+    return found.drop("copy")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mix_sources,
@@ -127,5 +167,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pack_sequences": pack_sequences,
         "op7_chat_format": chat_format,
         "op8_substring_dedup": substring_dedup,
+        "op9_document_fingerprints": document_fingerprints,
         "op10_language_id": language_id,
     }
