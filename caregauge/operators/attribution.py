@@ -19,26 +19,10 @@ from ..functions import (
     rows,
 )
 from ..session import stage
-from .fixed import CORRELATION_LIMIT, HIDDEN_STAR, OVERLOADED, QUALITY_GAP, SOLID
+from .fixed import CORRELATION_LIMIT, HIDDEN_STAR, OVERLOADED, QUALITY_GAP, SCORE_COLUMNS, SOLID
 from .kpis import recovered
 from .ranking import exact_quantiles, rank_over
 
-SCORE_COLUMNS = (
-    "doctor_name",
-    "specialization",
-    "experience_years",
-    "n_patients",
-    "actual_readmit_rate",
-    "expected_readmit_rate",
-    "attribution_score_norm",
-    "complexity_score",
-    "recovery_rate",
-    "revenue_generated",
-    "quadrant",
-    "rank_shift",
-)
-
-
 def doctor_case_mix(scored: DataFrame, doctors: DataFrame) -> DataFrame:
     """Counts and rates per doctor. Admissions are summed by doctor_id before doctors are joined.
 

@@ -1,6 +1,7 @@
 """Tables per department, diagnosis, payer, procedure and bed type.
 
-The number of groups is bounded by these vocabularies, so windows over the aggregated rows run in one task.
+Departments, payers and bed types are short vocabularies, so windows over their rows run in one task. Groups by
+procedure name or diagnosis, which may be free text, are ranked over distributed sorts.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ from ..functions import (
     rows,
     share_true,
 )
+from ..session import stage
 from . import fixed
 from .kpis import recovered
+from .ranking import ntile_over, rank_over
+
 
 def _all_groups() -> WindowSpec:
     return W.partitionBy()
@@ -244,12 +248,10 @@ def top_procedures(
         )
     )
     by_revenue = [F.desc("revenue"), F.asc("procedure_name"), F.asc("department_name")]
+    # Names may be many, so the quartile is taken over a distributed sort.
     return (
-        groups.select(
-            "*",
-            cents_to_double("revenue").alias("total_revenue"),
-            F.ntile(4).over(W.orderBy(*by_revenue)).alias("revenue_quartile"),
-        )
+        ntile_over(groups, by_revenue, 4, "revenue_quartile")
+        .withColumn("total_revenue", cents_to_double("revenue"))
         .orderBy(*by_revenue)
         .limit(top)
         .drop("revenue")
@@ -300,7 +302,7 @@ def diagnosis_rank(
     top: int = fixed.TOP_DIAGNOSES,
 ) -> DataFrame:
     """(diagnosis, department) groups with enough cases; dense ranks before the limit."""
-    groups = (
+    groups = stage(
         admissions.groupBy("diagnosis", "department_name")
         .agg(
             rows().alias("cases"),
@@ -311,6 +313,9 @@ def diagnosis_rank(
         )
         .where(F.col("cases") >= min_cases)
     )
+    # Diagnoses may be free text, so the ranks are taken over distributed sorts.
+    for value, name in (("cases", "frequency_rank"), ("avg_bill", "cost_rank")):
+        groups = rank_over(groups, value, name, rows=0, method="dense", window_rows=-1)
     return (
         groups.select(
             "diagnosis",
@@ -320,8 +325,8 @@ def diagnosis_rank(
             "total_revenue",
             "avg_los",
             "readmission_rate_pct",
-            F.dense_rank().over(W.orderBy(F.desc("cases"))).cast("long").alias("frequency_rank"),
-            F.dense_rank().over(W.orderBy(F.desc("avg_bill"))).cast("long").alias("cost_rank"),
+            "frequency_rank",
+            "cost_rank",
         )
         .orderBy(F.desc("cases"), "diagnosis", "department_name")
         .limit(top)

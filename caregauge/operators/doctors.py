@@ -39,7 +39,6 @@ def _per_doctor(admissions: DataFrame, *extra) -> DataFrame:
         cents_sum("total_bill").alias("revenue"),
         average_money("total_bill").alias("avg_bill"),
         count_true(recovered()).alias("recoveries"),
-        F.sum("readmitted_30days").alias("readmissions"),
         *extra,
     )
 
@@ -49,7 +48,12 @@ def doctor_scorecard(
 ) -> DataFrame:
     """Doctors with at least one admission, ranked within their specialization by revenue and recovery."""
     count = doctors.count()
-    stats = _per_doctor(admissions, F.avg("length_of_stay").alias("avg_los"))
+    # A doctor whose flags are all missing has 0 readmissions here, but none known in api_doctors.
+    stats = _per_doctor(
+        admissions,
+        count_true(F.col("readmitted_30days") == 1).alias("readmissions"),
+        F.avg("length_of_stay").alias("avg_los"),
+    )
     cards = doctors.join(stats, "doctor_id").select(
         *DOCTOR_COLUMNS[1:],
         F.col("patients").alias("patients_treated"),
@@ -75,7 +79,7 @@ def doctor_scorecard(
 def api_doctors(doctors: DataFrame, admissions: DataFrame, top: int = TOP_DOCTORS) -> DataFrame:
     """Top doctors by revenue. Doctors without admissions stay, with null revenue and 0 recovery."""
     return (
-        doctors.join(_per_doctor(admissions), "doctor_id", "left")
+        doctors.join(_per_doctor(admissions, F.sum("readmitted_30days").alias("readmissions")), "doctor_id", "left")
         .select(
             *DOCTOR_COLUMNS,
             F.coalesce("patients", F.lit(0)).alias("patients"),
@@ -145,7 +149,7 @@ def report_doctor_tiers(
     """Top doctors by revenue with a tier from the exact quartile and median over all doctors."""
     count = doctors.count()
     complete = doctors.dropna(subset=list(DOCTOR_COLUMNS))
-    stats = stage(complete.join(_per_doctor(admissions), "doctor_id"))
+    stats = stage(complete.join(_per_doctor(admissions, F.sum("readmitted_30days").alias("readmissions")), "doctor_id"))
     quantiles = exact_quantiles(
         stats, "revenue", [0.75, 0.5], ["upper", "median"], rows=count, window_rows=window_rows
     )

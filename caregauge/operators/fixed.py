@@ -60,3 +60,52 @@ TOP_DEPARTMENTS = 3
 
 # Ten million, the unit of large amounts.
 CRORE = 1e7
+
+# Columns of the published score table.
+SCORE_COLUMNS = (
+    "doctor_name",
+    "specialization",
+    "experience_years",
+    "n_patients",
+    "actual_readmit_rate",
+    "expected_readmit_rate",
+    "attribution_score_norm",
+    "complexity_score",
+    "recovery_rate",
+    "revenue_generated",
+    "quadrant",
+    "rank_shift",
+)
+
+# Inputs and settings of the readmission forest.
+FOREST_FEATURES = (
+    "age",
+    "department_code",
+    "severity_code",
+    "bed_code",
+    "admission_type_code",
+    "gender_code",
+    "length_of_stay",
+    "total_bill",
+    "insurance_covered",
+    "patient_paid",
+    "month",
+)
+FOREST_TREES = 150
+FOREST_DEPTH = 7
+FOREST_SEED = 42
+TEST_BUCKETS = 5  # one in five is held out
+
+# Inputs of the expected-risk regression.
+RISK_FEATURES = (
+    "age",
+    "severity_code",
+    "department_code",
+    "diagnosis_code",
+    "bed_code",
+    "admission_type_code",
+    "gender_code",
+    "length_of_stay",
+    "total_bill",
+    "month",
+)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import global_position
+
 
 def with_codes(df: DataFrame, codes: Mapping[str, str]) -> DataFrame:
     """Add an integer code per text column: alphabetical position from 0, missing text last.
@@ -28,10 +31,27 @@ def with_codes(df: DataFrame, codes: Mapping[str, str]) -> DataFrame:
     )
 
 
-def bucket(key: str, buckets: int, salt: str = "") -> Column:
-    """Repeatable bucket number from a row key; it does not depend on partitioning or row order."""
-    text = F.concat(F.lit(salt), F.col(key).cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % buckets
+def stratified_folds(
+    df: DataFrame, key: str, label: str, folds: int, salt: str, name: str = "fold"
+) -> DataFrame:
+    """Add a fold number; the rows of each label differ by at most one between folds.
+
+    Within a label, rows stand in the order of a hash of their key and are dealt out in turn. The key must be
+    unique; the order is made by a distributed sort, and does not depend on partitions or row order.
+    """
+    digest = F.md5(F.concat(F.lit(salt), F.col(key).cast("string")))
+    keys = df.select(F.col(key).alias("_key"), F.col(label).alias("_label"), digest.alias("_digest"))
+    placed = global_position(keys, [F.asc_nulls_last("_label"), F.asc("_digest"), F.asc("_key")])
+    # One row per label.
+    firsts = placed.groupBy("_label").agg(F.min("_row").alias("_first")).collect()
+    first = reduce(
+        lambda case, r: case.when(F.col("_label").eqNullSafe(F.lit(r["_label"])), r["_first"]),
+        firsts,
+        F.when(F.lit(False), 0),
+    )
+    number = ((F.col("_row") - first) % folds).cast("int").alias(name)
+    dealt = placed.select("_key", number)
+    return df.join(dealt, df[key] == dealt["_key"]).select(*df.columns, name)
 
 
 def label_counts(df: DataFrame, label: str) -> dict[int, int]:
@@ -47,8 +67,10 @@ def balanced_weight(counts: Mapping[int, int], label: str) -> Column:
     )
 
 
-def roc_auc(scored: DataFrame, label: str, score: str) -> float:
-    """Area under the exact curve; numBins=0 keeps every distinct score."""
+def roc_auc(scored: DataFrame, label: str, score: str) -> float | None:
+    """Area under the exact curve; numBins=0 keeps every distinct score. None without rows of both labels."""
+    if not all(label_counts(scored, label).get(y) for y in (0, 1)):
+        return None
     return BinaryClassificationEvaluator(
         labelCol=label, rawPredictionCol=score, metricName="areaUnderROC", numBins=0
     ).evaluate(scored)
@@ -60,10 +82,13 @@ def cross_validated_auc(
     label: str,
     score: str,
     fit_and_score: Callable[[DataFrame, DataFrame], DataFrame],
-) -> float:
-    """Mean AUC over the values of column `fold`; each fold is scored by a model fitted on the others."""
+) -> float | None:
+    """Mean AUC over the values of column `fold`; each fold is scored by a model fitted on the others.
+
+    None if the area of some fold is undefined.
+    """
     areas = []
     for k in range(folds):
         train, held_out = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
         areas.append(roc_auc(fit_and_score(train, held_out), label, score))
-    return sum(areas) / folds
+    return None if None in areas else sum(areas) / folds

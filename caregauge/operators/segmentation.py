@@ -12,26 +12,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import average_money, cents_sum, cents_to_double, rows
-from ..session import stage
+from ..session import settled, stage
 from .fixed import COMPLEX_CARE, FREQUENT, HIGH_VALUE, LOW_ENGAGEMENT
 
 FEATURES = ("total_spend", "visits", "avg_los", "readmissions", "age")
+PARTITIONS = 16
 PROFILE = ("total_spend", "visits", "avg_los")
 
 
 def segment_patients(
-    features: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42
+    features: DataFrame,
+    k: int = 4,
+    restarts: int = 10,
+    seed: int = 42,
+    key: str = "patient_id",
+    partitions: int = PARTITIONS,
 ) -> DataFrame:
-    """Add `segment`, the cluster of the best of several K-Means runs."""
-    staged = stage(features, for_training=True)
+    """Add `segment`, the cluster of the best of several K-Means runs.
+
+    The first centres are drawn per partition, so the points are dealt by key into a fixed number of them.
+    """
+    staged = stage(features)
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="_raw").transform(staged)
     scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
     scaled = scaler.fit(assembled).transform(assembled)
     # Kept for all runs; a lost block is read again from the staged table.
-    points = scaled.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    runs = (KMeans(k=k, seed=seed + i, predictionCol="segment").fit(points) for i in range(restarts))
-    best = min(runs, key=lambda model: model.summary.trainingCost)
-    points.unpersist()
+    points = settled(scaled.select(key, "features"), key, partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        runs = (KMeans(k=k, seed=seed + i, predictionCol="segment").fit(points) for i in range(restarts))
+        best = min(runs, key=lambda model: model.summary.trainingCost)
+    finally:
+        points.unpersist()
     return best.transform(scaled).select(*features.columns, "segment")
 
 

@@ -1,7 +1,7 @@
 """Every query by name, over the star-schema tables of one folder.
 
 Thresholds and sizes are parameters of the operators. The values here differ from the defaults only where
-the defaults would select all or none of these tables' groups, or train more models than a check needs.
+the defaults would select all or none of these tables' groups. Models are fitted in full.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import pct, round_half_up
@@ -23,7 +24,7 @@ from ..operators import readmission_model as forest
 from ..operators import risk_model as risk
 from ..operators import segmentation as seg
 from ..operators import trends
-from ..operators.learning import bucket, with_codes
+from ..operators.learning import stratified_folds
 from ..session import shared_folder, stage
 from ..sources import (
     StarTables,
@@ -47,9 +48,6 @@ MIN_CASES = 100
 LOS = (25.5, 25.0)
 BENCHMARK = 50.0
 RISK = 0.33
-TREES = 20
-RESTARTS = 3
-MODEL_FOLDS = 3
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 BILLS = ("total_bill", "insurance_covered", "patient_paid")
@@ -107,7 +105,7 @@ def monthly_revenue_table(t):
     columns = ("admission_date", "total_bill", "length_of_stay", "readmitted_30days")
     rollup = trends.monthly_revenue_rollup(t.admissions(*columns))
     path = f"{shared_folder(t.spark)}/monthly-revenue-{uuid.uuid4().hex}"
-    write_table(rollup.limit(1), path)
+    write_table(t.spark.range(1).select(F.lit("old").alias("year_month")), path)
     write_table(rollup, path)
     return read_table(t.spark, "parquet", path)
 
@@ -285,7 +283,8 @@ def daily_sales_growth(t):
 
 @_query
 def executive_kpis(t):
-    return kpis.executive_kpis(t.admissions(*KPI_COLUMNS, "department_name"))
+    bills = t.admissions("department_name", "total_bill")
+    return kpis.executive_kpis(t.admissions(*KPI_COLUMNS), bills)
 
 
 @_query
@@ -436,11 +435,13 @@ MODEL_FACTS = (
     "length_of_stay",
     *BILLS,
     "readmitted_30days",
+    "age",
+    "gender",
 )
 
 
 def _features(t: StarTables) -> DataFrame:
-    return forest.readmission_features(t.admissions(*MODEL_FACTS), t.patients())
+    return forest.readmission_features(t.admissions(*MODEL_FACTS))
 
 
 @_query
@@ -451,27 +452,57 @@ def readmission_features(t):
 @_query
 def train_test_split_stratified(t):
     split = forest.train_test_split_stratified(_features(t))
-    return split.groupBy("part", forest.LABEL).agg(F.count(F.lit(1)).alias("admissions"))
+    return split.select("admission_id", forest.LABEL, "part")
 
 
 @_query
 def readmission_model(t):
-    return forest.readmission_model(_features(t), trees=TREES)
+    return forest.readmission_model(_features(t))
+
+
+@_query
+def readmission_model_check(t):
+    """What must hold for any forest: every held-out admission has one prediction in range."""
+    return forest.readmission_model(_features(t)).select(
+        "admission_id",
+        forest.LABEL,
+        F.col("probability").between(0, 1).alias("probability_in_range"),
+        F.col("prediction").isin(0, 1).alias("prediction_valid"),
+    )
 
 
 @_query
 def model_auc(t):
-    return forest.model_auc(_features(t), folds=MODEL_FOLDS, trees=TREES)
+    return forest.model_auc(_features(t))
 
 
 @_query
 def feature_importance(t):
-    return forest.feature_importance(_features(t), trees=TREES)
+    return forest.feature_importance(_features(t))
+
+
+@_query
+def feature_importance_check(t):
+    """Every feature once, and importances of 0 or more that sum to 1."""
+    table = forest.feature_importance(_features(t))
+    whole = F.sum("importance").over(W.partitionBy())
+    return table.select(
+        "feature",
+        (F.col("importance") >= 0).alias("not_negative"),
+        (F.abs(whole - 1) < 1e-9).alias("sums_to_one"),
+    )
 
 
 @_query
 def confusion_matrix(t):
-    return forest.confusion_matrix(forest.readmission_model(_features(t), trees=TREES))
+    return forest.confusion_matrix(forest.readmission_model(_features(t)))
+
+
+@_query
+def confusion_matrix_totals(t):
+    """Held-out admissions per label, which no forest changes."""
+    matrix = forest.confusion_matrix(forest.readmission_model(_features(t)))
+    return matrix.groupBy("actual").agg(F.sum("admissions").alias("admissions"))
 
 
 @_query
@@ -490,7 +521,7 @@ def _patient_features(t: StarTables) -> DataFrame:
 
 
 def _clusters(t: StarTables) -> DataFrame:
-    return stage(seg.segment_patients(_patient_features(t), restarts=RESTARTS))
+    return stage(seg.segment_patients(_patient_features(t)))
 
 
 def _fixed_segments(t: StarTables) -> DataFrame:
@@ -500,7 +531,16 @@ def _fixed_segments(t: StarTables) -> DataFrame:
 
 @_query
 def segment_patients(t):
-    return seg.segment_patients(_patient_features(t), restarts=RESTARTS)
+    return seg.segment_patients(_patient_features(t))
+
+
+@_query
+def segment_patients_check(t):
+    """Every patient once, in one of four segments that are all used."""
+    used = F.size(F.collect_set("segment").over(W.partitionBy()))
+    return seg.segment_patients(_patient_features(t)).select(
+        "patient_id", F.col("segment").between(0, 3).alias("valid"), (used == 4).alias("all_used")
+    )
 
 
 @_query
@@ -546,11 +586,14 @@ RISK_FACTS = (
     "total_bill",
     "readmitted_30days",
     "outcome",
+    "age",
+    "gender",
+    *risk.DOCTOR,
 )
 
 
 def _risk_frame(t: StarTables) -> DataFrame:
-    return risk.risk_frame(t.admissions(*RISK_FACTS), t.patients(), t.doctors())
+    return risk.risk_frame(t.admissions(*RISK_FACTS))
 
 
 @_query
@@ -561,7 +604,7 @@ def risk_frame(t):
 @_query
 def risk_model(t):
     """Calibration table: admissions and readmissions per expected probability, to 2 places."""
-    scored = risk.expected_probability(_risk_frame(t), folds=MODEL_FOLDS)
+    scored = risk.expected_probability(_risk_frame(t))
     return (
         scored.groupBy(F.round("expected_prob", 2).alias("expected_prob"))
         .agg(
@@ -574,35 +617,44 @@ def risk_model(t):
 
 @_query
 def risk_model_cv_auc(t):
-    return risk.risk_model_cv_auc(_risk_frame(t), folds=2, max_iter=50)
+    return risk.risk_model_cv_auc(_risk_frame(t))
 
 
 @_query
 def expected_probability(t):
-    scored = risk.expected_probability(_risk_frame(t), folds=MODEL_FOLDS)
+    scored = risk.expected_probability(_risk_frame(t))
     return scored.select("admission_id", "expected_prob")
 
 
+@_query
+def expected_probability_check(t):
+    """Every admission once with a probability, and the mean within 0.02 of the rate it predicts."""
+    scored = risk.expected_probability(_risk_frame(t))
+    means = scored.agg((F.avg("expected_prob") - F.avg("readmitted_30days")).alias("off")).scalar()
+    return scored.select(
+        "admission_id",
+        F.col("expected_prob").between(0, 1).alias("in_range"),
+        (F.abs(means) <= 0.02).alias("calibrated"),
+    )
+
+
 @_query
 def attribution_scores_from_model(t):
     """The whole attribution: model, expected rates, scores."""
-    scored = risk.expected_probability(_risk_frame(t), folds=MODEL_FOLDS)
+    scored = risk.expected_probability(_risk_frame(t))
     return att.attribution_scores(att.score_doctors(att.doctor_case_mix(scored, t.doctors())))
 
 
 def _case_mix(t: StarTables) -> DataFrame:
-    """Case mix with the readmission rate of the (department, severity) cell as the expected probability."""
-    facts = stage(
-        t.admissions(
-            "doctor_id",
-            "patient_id",
-            "department_name",
-            "severity",
-            "readmitted_30days",
-            "total_bill",
-            "outcome",
-        )
+    """Case mix with the readmission rate of the (department, severity) cell as the expected probability.
+
+    The fact is read twice, for the cells and for the doctors, and never staged. Severity codes come with the
+    cells, which are few.
+    """
+    facts = t.admissions(
+        "doctor_id", "department_name", "severity", "readmitted_30days", "total_bill", "outcome", "age"
     )
+    code = F.dense_rank().over(W.orderBy(F.asc_nulls_last("severity"))) - 1
     cells = (
         facts.groupBy("department_name", "severity")
         .agg((pct(F.sum("readmitted_30days"), F.count(F.lit(1))) / 100).alias("rate"))
@@ -610,15 +662,15 @@ def _case_mix(t: StarTables) -> DataFrame:
             F.col("department_name").alias("cell_department"),
             F.col("severity").alias("cell_severity"),
             F.col("rate").cast("decimal(12,8)").alias("expected_prob"),
+            code.alias("severity_code"),
         )
     )
-    coded = with_codes(facts, {"severity": "severity_code"})
-    scored = coded.join(
+    scored = facts.join(
         cells,
-        coded.department_name.eqNullSafe(cells.cell_department)
-        & coded.severity.eqNullSafe(cells.cell_severity),
+        facts.department_name.eqNullSafe(cells.cell_department)
+        & facts.severity.eqNullSafe(cells.cell_severity),
         "left",
-    ).join(t.patients().select("patient_id", "age"), "patient_id", "left")
+    )
     return att.doctor_case_mix(scored, t.doctors())
 
 
@@ -701,8 +753,7 @@ def complexity_extremes(t):
 
 @_query
 def fold_assignment(t):
-    """Admissions per cross-validation fold, from the row key."""
-    facts = t.admissions("admission_id")
-    return facts.groupBy(bucket("admission_id", 5, "outer").alias("fold")).agg(
-        F.count(F.lit(1)).alias("admissions")
-    )
+    """Admissions per cross-validation fold and label."""
+    facts = t.admissions("admission_id", "readmitted_30days")
+    dealt = stratified_folds(facts, "admission_id", "readmitted_30days", 5, "outer")
+    return dealt.groupBy("fold", "readmitted_30days").agg(F.count(F.lit(1)).alias("admissions"))

@@ -5,12 +5,15 @@ The SQL states each result on its own. It shares only the parameter values with
 
 from __future__ import annotations
 
-from ..operators.fixed import AGE_LABELS, AGE_LIMITS, VISIT_LABELS
+from ..operators.fixed import AGE_LABELS, AGE_LIMITS, FOREST_FEATURES, VISIT_LABELS
 from . import catalog as c
 
 ADMISSIONS = """
 admissions AS (
-  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS admission_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER),
+                   CAST(round(l_extendedprice * 100) AS BIGINT), CAST(round(l_discount * 100) AS BIGINT),
+                   CAST(round(l_tax * 100) AS BIGINT), l_returnflag, l_linestatus,
+                   CAST(l_shipdate AS DATE) - DATE '1970-01-01') AS admission_id,
          o_custkey AS patient_id,
          l_suppkey AS doctor_id,
          sn.n_name AS department_name,
@@ -659,8 +662,10 @@ def _codes(*columns: str) -> str:
     )
 
 
-def _bucket(key: str, buckets: int, salt: str) -> str:
-    return f"(CAST('0x' || substr(md5('{salt}' || {key}), 1, 8) AS BIGINT) % {buckets})"
+def _fold(label: str, salt: str) -> str:
+    """Position among the rows of a label by a hash of the key, dealt out in turn to 5 folds."""
+    return f"""(row_number() OVER (PARTITION BY {label} ORDER BY md5('{salt}' || admission_id), admission_id)
+                - 1) % 5"""
 
 
 def _models() -> dict[str, str]:
@@ -688,17 +693,37 @@ def _models() -> dict[str, str]:
         "gender:gender_code",
         "insurance_provider:insurance_code",
     )
-    facts = ", ".join(f"a.{x}" for x in c.RISK_FACTS if x not in ("total_bill",))
+    attributes = ("age", "gender", "doctor_name", "specialization", "experience_years")
+    facts = ", ".join(f"a.{x}" for x in c.RISK_FACTS if x not in ("total_bill", *attributes))
+    split = f"""
+        split AS (
+          SELECT *, CASE WHEN {_fold('readmitted_30days', 'split')} = 0 THEN 'test' ELSE 'train' END AS part
+          FROM features WHERE age IS NOT NULL
+        )"""
     return {
         "readmission_features": _with(ADMISSIONS, PATIENTS, features)
         + "SELECT * FROM features WHERE age IS NOT NULL",
-        "train_test_split_stratified": _with(ADMISSIONS, PATIENTS, features) + f"""
-            SELECT CASE WHEN {_bucket('admission_id', 5, 'split')} = 0 THEN 'test' ELSE 'train' END
-                     AS part, readmitted_30days, count(*) AS admissions
-            FROM features WHERE age IS NOT NULL GROUP BY 1, 2""",
-        "fold_assignment": _with(ADMISSIONS) + f"""
-            SELECT {_bucket('admission_id', 5, 'outer')} AS fold, count(*) AS admissions
-            FROM admissions GROUP BY 1""",
+        "train_test_split_stratified": _with(ADMISSIONS, PATIENTS, features, split)
+        + "SELECT admission_id, readmitted_30days, part FROM split",
+        "readmission_model_check": _with(ADMISSIONS, PATIENTS, features, split) + """
+            SELECT admission_id, readmitted_30days, true AS probability_in_range, true AS prediction_valid
+            FROM split WHERE part = 'test'""",
+        "confusion_matrix_totals": _with(ADMISSIONS, PATIENTS, features, split) + """
+            SELECT y AS actual, count(admission_id) AS admissions
+            FROM (VALUES (0), (1)) v(y) LEFT JOIN split ON readmitted_30days = y AND part = 'test'
+            GROUP BY 1""",
+        "feature_importance_check": f"""
+            SELECT unnest([{", ".join(f"'{f}'" for f in FOREST_FEATURES)}]) AS feature,
+                   true AS not_negative, true AS sums_to_one""",
+        "expected_probability_check": _with(ADMISSIONS) + """
+            SELECT admission_id, true AS in_range, true AS calibrated FROM admissions""",
+        "segment_patients_check": _with(ADMISSIONS, PATIENTS) + """
+            SELECT DISTINCT patient_id, true AS valid, true AS all_used
+            FROM admissions JOIN patients USING (patient_id)
+            WHERE age IS NOT NULL""",
+        "fold_assignment": _with(ADMISSIONS) + f""",
+            dealt AS (SELECT readmitted_30days, {_fold('readmitted_30days', 'outer')} AS fold FROM admissions)
+            SELECT fold::INTEGER AS fold, readmitted_30days, count(*) AS admissions FROM dealt GROUP BY 1, 2""",
         "confusion_matrix_of_rule": _with(ADMISSIONS) + f""",
             r AS (SELECT readmitted_30days AS actual,
                          CASE WHEN severity IN ('{c.SEVERITIES[0]}', '{c.SEVERITIES[3]}') THEN 1 ELSE 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import attribution as att
 from ..operators import departments as dep
@@ -37,6 +38,12 @@ def _expected(t: HospitalTables) -> DataFrame:
     return risk.expected_probability(risk.risk_frame(t.admissions, t.patients, t.doctors))
 
 
+def _with_department_names(t: HospitalTables) -> DataFrame:
+    """Procedures carry the department's id only; its name is taken from the admissions."""
+    names = t.admissions.groupBy("department_id").agg(F.min("department_name").alias("department_name"))
+    return t.procedures.join(names, "department_id", "left")
+
+
 def doctor_scores(t: HospitalTables) -> DataFrame:
     """Risk model and attribution in one go; the reports in REPORTS_ON_SCORES read its result."""
     return att.score_doctors(att.doctor_case_mix(_expected(t), t.doctors))
@@ -103,11 +110,11 @@ QUERIES: dict[str, Callable[[HospitalTables], DataFrame]] = {
     # procedures and outcomes
     "procedure_kpis": lambda t: ops.procedure_kpis(t.procedures),
     "department_procedure_volume": lambda t: ops.department_procedure_volume(
-        t.procedures.withColumnRenamed("department_id", "department_name")
+        _with_department_names(t)
     ),
     "procedures_per_admission": lambda t: ops.procedures_per_admission(t.procedures),
     "volume_revenue_correlation": lambda t: ops.volume_revenue_correlation(
-        t.procedures.withColumnRenamed("department_id", "department_name")
+        _with_department_names(t)
     ),
     "success_rate_vs_benchmark": lambda t: dep.success_rate_vs_benchmark(t.admissions),
     "referred_return_rate": lambda t: pat.referred_return_rate(t.admissions),

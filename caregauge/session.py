@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="caregauge-"))
     return context.getCheckpointDir()
@@ -47,21 +50,43 @@ def file_bytes(table: DataFrame) -> int:
     return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def stage(df: DataFrame, for_training: bool = False) -> DataFrame:
+_scope: ContextVar[str | None] = ContextVar("staging folder", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block go when it ends; use their results before.
+
+    The folder is that of a database made for the block, so that dropping the database deletes it, on any
+    file system and nothing besides.
+    """
+    name = f"caregauge_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{folder}'")
+    token = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def stage(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     Later reads see the same rows and row ids even after executors are lost, the lineage is cut, and
-    the optimizer gets real sizes.
-
-    for_training: the table will be read many times by CPU-bound model fits. If it is so small that it
-    would leave cores idle, it is written again in more files (of a megabyte or larger).
+    the optimizer gets real sizes. Inside `staging` the table goes with the block, else it stays.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = f"{(_scope.get() or shared_folder(spark)).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    staged = spark.read.schema(df.schema).parquet(path)
-    if for_training:
-        wanted = min(spark.sparkContext.defaultParallelism, file_bytes(staged) >> 20)
-        if staged.rdd.getNumPartitions() < wanted:
-            return stage(staged.repartition(wanted))
-    return staged
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """df dealt by a unique key into so many sorted partitions: the same layout on any machine.
+
+    For fits that draw random numbers per partition. `partitions` is a parameter of the fit, never
+    taken from the machine.
+    """
+    return df.repartition(partitions, key).sortWithinPartitions(key)

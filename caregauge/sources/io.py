@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,31 @@ def jdbc_options(
     return options
 
 
+def date_predicates(column: str, first: dt.date, last: dt.date, partitions: int) -> list[str]:
+    """WHERE conditions that split a table by ISO dates or date text, one per task of a JDBC read.
+
+    The first part also takes earlier dates and nulls, the last one later dates, so that no row is left out.
+    """
+    days = (last - first).days
+    cuts = [first + dt.timedelta(days=days * i // partitions) for i in range(1, partitions)]
+    cuts = sorted(set(cuts) - {first})
+    if not cuts:
+        return ["1 = 1"]
+    parts = [f"{column} < '{cuts[0]}' OR {column} IS NULL"]
+    parts += [f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [*parts, f"{column} >= '{cuts[-1]}'"]
+
+
+def prefix_predicates(column: str, prefixes: Sequence[str]) -> list[str]:
+    """WHERE conditions that split a table by ranges of a text key; nulls go with the first."""
+    cuts = sorted(set(prefixes))
+    if not cuts:
+        return ["1 = 1"]
+    parts = [f"{column} < '{cuts[0]}' OR {column} IS NULL"]
+    parts += [f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [*parts, f"{column} >= '{cuts[-1]}'"]
+
+
 def read_query(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     """Run SQL text over the frames given by name, written as {name} in the text."""
     return spark.sql(sql, **tables)

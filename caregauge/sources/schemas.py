@@ -18,14 +18,14 @@ def _field(name: str, dtype: T.DataType, comment: str = "") -> T.StructField:
 
 PATIENTS = T.StructType(
     [
-        _field("patient_id", STRING, "Unique patient identifier"),
+        _field("patient_id", STRING, "key of the person"),
         _field("patient_name", STRING),
-        _field("age", INT, "Patient age in years"),
-        _field("gender", STRING, "Male / Female"),
+        _field("age", INT, "full years at registration"),
+        _field("gender", STRING, "as stated by the person"),
         _field("blood_group", STRING),
         _field("city", STRING),
         _field("phone", STRING),
-        _field("insurance", STRING, "Insurance provider name"),
+        _field("insurance", STRING, "payer on file"),
         _field("registration_date", DATE),
     ]
 )
@@ -43,36 +43,36 @@ DOCTORS = T.StructType(
 
 ADMISSIONS = T.StructType(
     [
-        _field("admission_id", STRING, "Unique admission identifier"),
-        _field("patient_id", STRING, "Patient identifier"),
-        _field("doctor_id", STRING, "Treating doctor identifier"),
+        _field("admission_id", STRING, "key of the stay"),
+        _field("patient_id", STRING, "who stayed, see patients"),
+        _field("doctor_id", STRING, "who treated, see doctors"),
         _field("department_id", STRING),
-        _field("department_name", STRING, "Hospital department name"),
-        _field("diagnosis", STRING, "Primary diagnosis"),
-        _field("admission_date", DATE, "Date of admission"),
-        _field("discharge_date", DATE, "Date of discharge"),
-        _field("length_of_stay", INT, "Days admitted"),
-        _field("severity", STRING, "Mild / Moderate / Severe / Critical"),
-        _field("total_bill", MONEY, "Total billing amount"),
+        _field("department_name", STRING, "ward that took the person in"),
+        _field("diagnosis", STRING, "main reason for the stay"),
+        _field("admission_date", DATE, "first day"),
+        _field("discharge_date", DATE, "last day"),
+        _field("length_of_stay", INT, "nights between first and last day"),
+        _field("severity", STRING, "one of four grades"),
+        _field("total_bill", MONEY, "charged for the stay"),
         _field("insurance_provider", STRING),
-        _field("insurance_covered", MONEY, "Amount paid by insurance"),
-        _field("patient_paid", MONEY, "Amount paid by patient"),
-        _field("readmitted_30days", INT, "1 if readmitted within 30 days, else 0"),
+        _field("insurance_covered", MONEY, "borne by the payer"),
+        _field("patient_paid", MONEY, "borne by the person"),
+        _field("readmitted_30days", INT, "flag: came back within a month"),
         _field("bed_type", STRING),
         _field("admission_type", STRING),
-        _field("outcome", STRING, "Recovered / Improved / Referred / Expired"),
+        _field("outcome", STRING, "how the stay ended"),
     ]
 )
 
 PROCEDURES = T.StructType(
     [
-        _field("procedure_id", STRING, "Unique procedure identifier"),
+        _field("procedure_id", STRING, "key of the treatment"),
         _field("admission_id", STRING),
         _field("patient_id", STRING),
         _field("department_id", STRING),
-        _field("procedure_name", STRING, "Name of clinical procedure"),
+        _field("procedure_name", STRING, "what was done"),
         _field("procedure_date", DATE),
-        _field("cost", MONEY, "Procedure cost"),
+        _field("cost", MONEY, "charged for it"),
         _field("performed_by", STRING),
     ]
 )

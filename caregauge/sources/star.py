@@ -2,8 +2,9 @@
 
 lineitem is the admission fact; orders, supplier, part and customer supply its attributes. Only the
 dimensions that the requested columns need are joined. All of them are LEFT joins on a unique key, so
-leaving one out never changes the rows. Customer attributes are attached to orders first: the fact is
-then shuffled once for both, and never by customer.
+leaving one out never changes the rows. Customer attributes (the patient's age and gender too) are attached
+to orders first: the fact is then shuffled once for both, and never by customer. Doctor attributes come with
+the supplier.
 
 The optimizer estimates a join of two dimensions by the product of their sizes and would shuffle the fact
 for it. So a joined dimension whose files are below the session's broadcast threshold is marked for
@@ -29,7 +30,32 @@ def _covered_cents() -> Column:
 
 
 def _admission_id() -> Column:
-    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """All columns of the row; lineitem has no key of fewer."""
+    hundredths = ("l_extendedprice", "l_discount", "l_tax")
+    return F.concat_ws(
+        "-",
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        F.col("l_quantity").cast("int"),
+        *(cents(c) for c in hundredths),
+        "l_returnflag",
+        "l_linestatus",
+        F.unix_date(F.to_date("l_shipdate")),
+    )
+
+
+def _age() -> Column:
+    return F.floor((F.col("c_acctbal") + 1000) / 130).cast("int")
+
+
+def _gender() -> Column:
+    return F.when(F.col("c_custkey") % 2 == 0, "Female").when(F.col("c_custkey").isNotNull(), "Male")
+
+
+def _experience() -> Column:
+    return (F.col("s_suppkey") % 23 + 3).cast("int")
 
 
 # logical column -> (dimensions it needs, expression)
@@ -50,6 +76,11 @@ _ADMISSION_COLUMNS = {
     "bed_type": (("orders", "customer"), lambda: F.col("c_mktsegment")),
     "admission_type": (("orders",), lambda: F.col("o_orderstatus")),
     "outcome": ((), lambda: F.when(F.col("l_linestatus") == "F", "Recovered").otherwise("Referred")),
+    "age": (("orders", "customer"), _age),
+    "gender": (("orders", "customer"), _gender),
+    "doctor_name": (("supplier",), lambda: F.col("s_name")),
+    "specialization": (("supplier",), lambda: F.col("s_nation")),
+    "experience_years": (("supplier",), _experience),
 }
 
 _PROCEDURE_COLUMNS = {
@@ -67,22 +98,20 @@ _SALE_COLUMNS = {
 }
 
 
-# Schemas found so far. Every inference starts a job that reads footers.
-_SCHEMAS: dict[str, StructType] = {}
-
-
 class StarTables:
     """Encounter tables over one folder of star-schema Parquet tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        # Every inference starts a job that reads footers; kept for this object only, as tables may change.
+        self._schemas: dict[str, StructType] = {}
 
     def raw(self, table: str) -> DataFrame:
         path = f"{self.folder}/{table}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if path not in self._schemas:
+            self._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[path]).parquet(path)
 
     def _broadcast_if_small(self, dimension: DataFrame, *tables: DataFrame) -> DataFrame:
         """Mark a dimension built from the given tables, if their files together are small enough."""
@@ -145,8 +174,8 @@ class StarTables:
     def patients(self) -> DataFrame:
         return self.raw("customer").select(
             F.col("c_custkey").alias("patient_id"),
-            F.floor((F.col("c_acctbal") + 1000) / 130).cast("int").alias("age"),
-            F.when(F.col("c_custkey") % 2 == 0, "Female").otherwise("Male").alias("gender"),
+            _age().alias("age"),
+            _gender().alias("gender"),
         )
 
     def doctors(self) -> DataFrame:
@@ -154,7 +183,7 @@ class StarTables:
             F.col("s_suppkey").alias("doctor_id"),
             F.col("s_name").alias("doctor_name"),
             F.col("s_nation").alias("specialization"),
-            (F.col("s_suppkey") % 23 + 3).cast("int").alias("experience_years"),
+            _experience().alias("experience_years"),
         )
 
     def order_admissions(self) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caregauge.operators import readmission_model as forest
 from caregauge.operators import risk_model as risk
 from caregauge.operators import segmentation as seg
-from caregauge.operators.learning import balanced_weight, bucket, label_counts, roc_auc, with_codes
+from caregauge.operators.learning import balanced_weight, label_counts, roc_auc, stratified_folds, with_codes
 from caregauge.session import stage
 
 
@@ -49,13 +49,25 @@ def test_codes_are_alphabetical_with_missing_last(spark):
     assert {r.x: r.code for r in with_codes(df, {"x": "code"}).collect()} == {"a": 0, "b": 1, "c": 2, None: 3}
 
 
-def test_buckets_do_not_depend_on_partitions(spark):
-    df = spark.range(5000)
-    once = df.repartition(3).select("id", bucket("id", 5).alias("b"))
-    again = df.repartition(11).select("id", bucket("id", 5).alias("b"))
+def test_folds_are_stratified_and_do_not_depend_on_partitions(spark):
+    df = spark.range(5003).withColumn("y", (F.col("id") % 7 == 0).cast("int"))
+    once = stratified_folds(df.repartition(3), "id", "y", 5, "s").select("id", "y", "fold")
+    again = stratified_folds(df.repartition(11), "id", "y", 5, "s").select("id", "y", "fold")
     assert sorted(once.collect()) == sorted(again.collect())
-    sizes = [r["count"] for r in once.groupBy("b").count().collect()]
-    assert len(sizes) == 5 and min(sizes) > 850
+    for label in (0, 1):
+        sizes = [r["count"] for r in once.where(F.col("y") == label).groupBy("fold").count().collect()]
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+
+
+def test_folds_keep_rows_without_a_label(spark):
+    df = spark.createDataFrame([(i, None if i < 4 else 1) for i in range(9)], "id int, y int")
+    assert stratified_folds(df, "id", "y", 2, "s").count() == 9
+
+
+def test_undefined_auc_is_none(spark):
+    df = spark.createDataFrame([(1, 0.9), (1, 0.5)], "y int, s double")
+    assert roc_auc(df, "y", "s") is None
+    assert roc_auc(df.where("s > 1"), "y", "s") is None
 
 
 def test_class_weights_balance(spark):
@@ -80,10 +92,21 @@ def test_features_drop_missing_age_but_keep_missing_gender(stays, people):
 def test_split_is_stratified_and_complete(stays, people):
     split = forest.train_test_split_stratified(forest.readmission_features(stays, people))
     rows = split.groupBy("readmitted_30days").agg(
-        F.avg((F.col("part") == "test").cast("int")).alias("share"), F.count("part").alias("n")
+        F.count_if(F.col("part") == "test").alias("held_out"), F.count("part").alias("n")
     ).collect()
     assert sum(r.n for r in rows) == 1496
-    assert all(0.15 < r.share < 0.25 for r in rows)
+    assert all(abs(r.held_out - r.n / 5) <= 1 for r in rows)
+
+
+def test_forest_does_not_depend_on_how_rows_are_laid_out(stays, people):
+    features = forest.readmission_features(stays, people)
+    parts = [
+        forest.predict(forest.fit_forest(features.repartition(n), trees=5), features)
+        .select("admission_id", "probability")
+        .collect()
+        for n in (1, 7)
+    ]
+    assert sorted(parts[0]) == sorted(parts[1])
 
 
 def test_forest_finds_the_drivers(stays, people):
@@ -127,6 +150,31 @@ def test_expected_probability_is_calibrated_and_ranks(stays, people, doctors):
     assert 0.5 < area <= 1
 
 
+def pooled(points):
+    """Pool adjacent violators over (score, mean, weight), in plain Python."""
+    blocks = []
+    for score, mean, weight in sorted(points):
+        blocks.append([mean, weight, [score]])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            m, w, scores = blocks.pop()
+            b = blocks[-1]
+            b[0], b[1], b[2] = (b[0] * b[1] + m * w) / (b[1] + w), b[1] + w, b[2] + scores
+    return {score: mean for mean, _, scores in blocks for score in scores}
+
+
+def test_calibration_is_isotonic_on_exact_scores(stays, people, doctors):
+    frame = risk.risk_frame(stays, people, doctors)
+    regression, calibration = risk.fit_risk_model(frame, folds=2).pairs[0]
+    dealt = stratified_folds(frame, "admission_id", risk.LABEL, 2, "calibration", "_inner")
+    held_out = risk._features(dealt.where("_inner = 0"))
+    scored = regression.transform(held_out).withColumn("margin", risk._margin("rawPrediction"))
+    points = scored.groupBy("margin").agg(F.avg(risk.LABEL).alias("y"), F.count("*").alias("n")).collect()
+    expected = pooled([(r.margin, r.y, r.n) for r in points])
+    assert len(expected) > 500
+    for r in calibration.setFeaturesCol("margin").transform(scored.select("margin")).collect():
+        assert r.prediction == pytest.approx(expected[r.margin], abs=1e-9)
+
+
 def test_segments_separate_clear_groups(spark):
     rng = random.Random(5)
     centres = [(100.0, 1, 2.0, 0, 20), (900.0, 2, 3.0, 0, 30), (300.0, 9, 2.0, 4, 50), (400.0, 3, 15.0, 1, 70)]
