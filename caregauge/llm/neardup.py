@@ -42,7 +42,7 @@ ROWS = 5  # a pair at 0.8 shares no band with a probability of 7e-6
 LEADER_ROUNDS = 2
 BLOCK = 256  # nodes
 _SLAB = 4096  # shingles whose shares are counted at once
-_RUN_BYTES = 4_000_000
+_RUN_BYTES = 1_500_000
 
 _U = np.uint64
 # Odd multipliers of the hashes; any would do.
