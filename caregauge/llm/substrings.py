@@ -40,8 +40,9 @@ GRAM = 20
 FLAGS = 1 << 18
 _GRAMS = WINDOW - GRAM + 1  # in a window
 _LONGEST = WINDOW + _GRAMS - 1  # bytes that the windows of one anchor cover
-_RUN_BYTES = 2_000_000
-_BATCH_BYTES = 24_000_000
+_RUN_BYTES = 1_000_000
+_BATCH_BYTES = 8_000_000
+_BUCKETS = 2  # for each shuffle partition
 _LAST = np.iinfo(np.int64).max  # stands for a missing id
 _KEYS = ["doc_id", "mark"]
 
@@ -51,7 +52,7 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     n = len(data)
-    empty = {"text": np.empty(0, np.int64), "at": np.empty(0, np.int64), "count": np.empty(0, np.int64)}
+    empty = {"text": np.empty(0, np.int32), "at": np.empty(0, np.int32), "count": np.empty(0, np.uint8)}
     if n < WINDOW:
         return empty | {"gram": np.empty(0, _U), "whole": np.empty(0, _U)}
     up, down = _tables(n + 1)
@@ -80,8 +81,12 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     whole = _mix((sums[stop] - sums[start]) * down[start] + inside * _BASE)
     text = owner[start]
     return {
-        "text": text, "at": start - (ends - sizes)[text], "count": count, "gram": grams[anchor[first]], "whole": whole,
-    }
+        "text": text.astype(np.int32),
+        "at": (start - (ends - sizes)[text]).astype(np.int32),
+        "count": count.astype(np.uint8),
+        "gram": grams[anchor[first]],
+        "whole": whole,
+    }
 
 
 def _bytes_of(values: np.ndarray, width: int) -> bytes:
@@ -99,7 +104,7 @@ def _pack(ids: np.ndarray, marks: np.ndarray, at: np.ndarray, count: np.ndarray,
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
     first = np.flatnonzero(new)
-    steps = np.diff(at, prepend=0)
+    steps = np.diff(at.astype(np.int64), prepend=0)
     steps[first] = at[first]
     width = np.uint16 if steps.max(initial=0) < 1 << 16 else np.uint32
     head = np.array([len(ids), len(first), np.dtype(width).itemsize], np.int64)
@@ -123,12 +128,12 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
         return found
 
     ids, marks, runs = take(np.int64, docs), take(np.int32, docs), take(np.uint32, docs).astype(np.int64)
-    steps, count = take(np.uint16 if width == 2 else np.uint32, n).astype(np.int64), take(np.uint8, n).astype(np.int64)
+    steps, count = take(np.uint16 if width == 2 else np.uint32, n).astype(np.int64), take(np.uint8, n)
     gram = _from_bytes(data[place : place + 5 * n], 5)
     whole = _from_bytes(data[place + 5 * n : place + 12 * n], 7)
     sums = np.cumsum(steps)
     first = np.cumsum(runs) - runs
-    at = sums - np.repeat(sums[first] - steps[first], runs)
+    at = (sums - np.repeat(sums[first] - steps[first], runs)).astype(np.int32)
     return np.repeat(ids, runs), np.repeat(marks, runs), at, count, gram, whole
 
 
@@ -345,7 +350,7 @@ def _packed(keyed: DataFrame) -> DataFrame:
 
 def repeated_windows(keyed: DataFrame, buckets: int | None = None) -> DataFrame:
     """(doc_id, mark, windows): for each document with repeated windows, lists of packed (first, count)."""
-    buckets = buckets or int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or _BUCKETS * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = "doc_id long, mark int, windows binary"
     records = keyed.where(F.octet_length("text") >= WINDOW).mapInPandas(
         _records(buckets), "bucket int, records binary"
