@@ -2,7 +2,7 @@
 
 import pytest
 
-from caregauge.plans.catalog import all_queries
+from caregauge.plans.catalog import MODEL_FACTS, RISK_FACTS, all_queries
 from caregauge.plans.oracle import all_sql
 from caregauge.sources import StarTables
 
@@ -14,7 +14,18 @@ def plan_of(df) -> str:
 
 
 # Queries that write tables first are left out here; they are run in test_catalog.
-EAGER = {"csv_round_trip", "monthly_revenue_table", "spend_deciles", "report_doctor_tiers", "risk_frame"}
+EAGER = {
+    "csv_round_trip",
+    "monthly_revenue_table",
+    "spend_deciles",
+    "report_doctor_tiers",
+    "risk_frame",
+    "readmission_model_check",
+    "feature_importance_check",
+    "confusion_matrix_totals",
+    "expected_probability_check",
+    "segment_patients_check",
+}
 LAZY = [
     name
     for name in sorted(all_sql())
@@ -60,3 +71,22 @@ def test_joins_to_doctors_come_after_the_aggregate(spark):
     plan = plan_of(all_queries()["api_doctors"](spark, SF_SMALL))
     join = plan.index("Join")
     assert "HashAggregate" in plan[join:], "the fact is aggregated below the join"
+
+
+@pytest.mark.parametrize("columns", [RISK_FACTS, MODEL_FACTS])
+def test_model_rows_read_each_dimension_once(spark, columns):
+    found = scans(StarTables(spark, SF_SMALL).admissions(*columns))
+    for table in ("customer", "supplier", "orders", "lineitem"):
+        assert sum(f"/{table}.parquet" in line for line in found) == 1
+
+
+def test_executive_kpis_join_no_orders_for_the_departments(spark):
+    found = scans(all_queries()["executive_kpis"](spark, SF_SMALL))
+    assert sum("/orders.parquet" in line for line in found) == 1
+    assert sum("/supplier.parquet" in line for line in found) == 1
+
+
+def test_attribution_reads_the_fact_twice_and_stages_nothing_of_it(spark):
+    found = scans(all_queries()["doctor_case_mix"](spark, SF_SMALL))
+    assert sum("/lineitem.parquet" in line for line in found) == 2
+    assert not any("staged-" in line for line in found)
