@@ -5,8 +5,8 @@ count, for texts of few different words), coarser for longer texts, so that a te
 each digest is added to three of them, one in each third: a count, the digests xored, and their check hashes
 xored. Tables subtract cell by cell. What remains are the digests that only one side has, and these are peeled:
 a cell with one digest gives it away, it is taken out of its other cells, and so on until all are empty. If
-some are left, the subtraction is repeated with tables four times as large, and beyond the last size the digest
-sets are subtracted directly. The likeness of two texts is the shared part of their joint digests.
+some are left, the subtraction is repeated with larger tables, and beyond the last size the digest sets are
+subtracted directly. The likeness of two texts is the shared part of their joint digests.
 
 All of it is DataFrame functions on one row; a row holds the digests of the texts that it compares.
 
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import global_position
 from ..session import stage
-from .common import SPACES, text_of
+from .common import SPACES, WORD, text_of
 
-PARAGRAPHS = 24
-SIZES = (24, 96, 384)  # cells, in thirds
+PARAGRAPHS = 16
+SIZES = (24, 48, 192)  # cells, in thirds
 ROUNDS = 12
 LONGEST = 4  # times the usual length after which a text without such words is cut
 _CELL = "struct<n:int,key:bigint,check:bigint>"
@@ -51,9 +51,9 @@ def word_hashes(text: Column) -> Column:
 
 
 def coarseness(n_words: Column) -> Column:
-    """A word in so many ends a paragraph: 1 up to PARAGRAPHS words, then powers of four."""
-    steps = F.ceil(F.log(4.0, F.greatest(n_words, F.lit(1)) / PARAGRAPHS) - 1e-9)
-    return F.pow(F.lit(4.0), F.greatest(steps, F.lit(0))).cast("long")
+    """A word in so many ends a paragraph: 1 up to PARAGRAPHS words, then powers of two."""
+    steps = F.ceil(F.log(2.0, F.greatest(n_words, F.lit(1)) / PARAGRAPHS) - 1e-9)
+    return F.pow(F.lit(2.0), F.greatest(steps, F.lit(0))).cast("long")
 
 
 def paragraphs(hashes: Column, every: Column) -> Column:
@@ -207,19 +207,23 @@ _KEYS = ["k1", "k2"]
 def versions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each document beside its edited text and the next document.
 
-    doc_id, text, n_chars, edited, next_words (hashed, of the next document), copies (rows it stands for). The
-    texts are shuffled once by key; from there each sends its predecessor no more than the part that is put in.
+    doc_id, text, n_chars, every (its coarseness), edited, next_every, next_cut (the next document's paragraphs at
+    the coarser level of the two), copies (rows it stands for). The texts are shuffled once by key; from there
+    each sends its predecessor no more than the part that is put in and a few digests.
     """
     text = text_of(text_column)
     given = docs.select(F.col(id_column).alias("doc_id"), text.alias("text")).select(
         F.xxhash64("doc_id", "text").alias("k1"), F.hash("doc_id", "text").alias("k2"), "doc_id", "text"
     )
-    known = given.select(*_KEYS, "doc_id", F.length("text").alias("n_chars"))
-    listed = known.groupBy(*_KEYS, "doc_id").agg(F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("copies"))
+    n_words = F.regexp_count("text", F.lit(WORD))
+    known = given.select(*_KEYS, "doc_id", F.length("text").alias("n_chars"), coarseness(n_words).alias("every"))
+    listed = known.groupBy(*_KEYS, "doc_id").agg(
+        F.max("n_chars").alias("n_chars"), F.max("every").alias("every"), F.count(F.lit(1)).alias("copies")
+    )
     placed = stage(global_position(listed, [F.desc_nulls_last("doc_id"), F.asc("k1"), F.asc("k2")]))
     before = placed.select(
         ((F.col("_row") + 1) % F.col("_rows_total")).alias("_row"),
-        *(F.col(c).alias(f"{c}_before") for c in [*_KEYS, "n_chars"]),
+        *(F.col(c).alias(f"{c}_before") for c in [*_KEYS, "n_chars", "every"]),
     )
     order = placed.join(before, "_row").drop("_row", "_rows_total", "doc_id")
     full = given.dropDuplicates(_KEYS).join(order, _KEYS)
@@ -227,14 +231,19 @@ def versions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         F.col("k1_before").alias("k1"),
         F.col("k2_before").alias("k2"),
         F.left("text", F.floor(F.col("n_chars_before") / 3).cast("int")).alias("head"),
-        word_hashes(F.col("text")).alias("next_words"),
+        F.col("every").alias("next_every"),
+        let(
+            word_hashes(F.col("text")), lambda words: paragraphs(words, F.greatest("every", "every_before"))
+        ).alias("next_cut"),
     )
     third = F.floor(F.col("n_chars") / 3).cast("int")
     return full.join(sent, _KEYS).select(
         "doc_id",
         "text",
         "n_chars",
+        "every",
         F.concat(F.left("text", F.col("n_chars") - third), "head").alias("edited"),
-        "next_words",
+        "next_every",
+        "next_cut",
         "copies",
     )

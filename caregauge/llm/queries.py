@@ -122,36 +122,40 @@ def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint.word_hashes(F.col("text")).alias("own"),
-        fingerprint.word_hashes(F.col("edited")).alias("changed"),
-        F.col("next_words").alias("next"),
+        fingerprint.word_hashes(F.col("text")).alias("words"),
+        fingerprint.word_hashes(F.col("edited")).alias("edited_words"),
+        "every",
+        "next_every",
+        "next_cut",
         "copies",
     )
-    levels = pairs.select(
-        "*", *(fingerprint.coarseness(F.size(c)).alias(f"every_{c}") for c in ("own", "changed", "next"))
+    cut = pairs.withColumn("edited_every", fingerprint.coarseness(F.size("edited_words"))).withColumns(
+        {
+            "own_cut": fingerprint.paragraphs(F.col("words"), F.col("every")),
+            "edited_cut": fingerprint.paragraphs(F.col("edited_words"), F.col("edited_every")),
+        }
     )
 
-    def cut(words: str, *every: str) -> Column:
-        """Paragraphs at the coarsest of the levels, as two texts need the same one."""
-        return fingerprint.paragraphs(F.col(words), F.greatest(*every) if every[1:] else F.col(every[0]))
-
-    pieces = levels.select(
-        "doc_id", "n_chars", "edited_sha256", "copies", "every_own", "every_changed",
-        cut("own", "every_own").alias("own_cut"),
-        cut("changed", "every_changed").alias("changed_cut"),
-        cut("own", "every_own", "every_changed").alias("own_for_changed"),
-        cut("changed", "every_own", "every_changed").alias("changed_for_own"),
-        cut("own", "every_own", "every_next").alias("own_for_next"),
-        cut("next", "every_own", "every_next").alias("next_for_own"),
-    )
+    def at_least(words: str, own: str, every: str, other: str) -> Column:
+        """Paragraphs at the coarser of two levels, as texts are compared at one; mostly they are there already."""
+        return F.when(F.col(other) <= F.col(every), F.col(own)).otherwise(
+            fingerprint.paragraphs(F.col(words), F.col(other))
+        )
+
+    pieces = cut.select(
+        "*",
+        at_least("words", "own_cut", "every", "edited_every").alias("own_for_edited"),
+        at_least("edited_words", "edited_cut", "edited_every", "every").alias("edited_for_own"),
+        at_least("words", "own_cut", "every", "next_every").alias("own_for_next"),
+    )
     found = pieces.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint.written(F.col("own_cut"), F.col("every_own")).alias("fingerprint"),
-        fingerprint.written(F.col("changed_cut"), F.col("every_changed")).alias("edited_fingerprint"),
-        fingerprint.likeness(F.col("own_for_changed"), F.col("changed_for_own")).alias("near_edited"),
-        fingerprint.likeness(F.col("own_for_next"), F.col("next_for_own")).alias("near_next"),
+        fingerprint.written(F.col("own_cut"), F.col("every")).alias("fingerprint"),
+        fingerprint.written(F.col("edited_cut"), F.col("edited_every")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("own_for_edited"), F.col("edited_for_own")).alias("near_edited"),
+        fingerprint.likeness(F.col("own_for_next"), F.col("next_cut")).alias("near_next"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
     )
     return found.drop("copy")

@@ -28,7 +28,7 @@ def chained(values):
 def level(n):
     every = 1
     while n > every * fingerprint.PARAGRAPHS:
-        every *= 4
+        every *= 2
     return every
 
 
