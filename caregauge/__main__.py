@@ -8,7 +8,7 @@ from __future__ import annotations
 import argparse
 
 from .plans.portfolio import QUERIES, REPORTS_ON_SCORES, run
-from .session import build_session
+from .session import build_session, staging
 from .sources import json_records, write_csv, write_table
 from .sources.hospital import load_tables
 
@@ -21,15 +21,17 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--write", default="parquet", choices=["parquet", "csv", "json"])
     parser.add_argument("queries", nargs="+", choices=[*QUERIES, *REPORTS_ON_SCORES], metavar="QUERY")
     options = parser.parse_args(arguments)
-    tables = load_tables(build_session(), options.tables, options.format)
+    spark = build_session()
+    tables = load_tables(spark, options.tables, options.format)
     for name in options.queries:
-        result, path = run(name, tables), f"{options.out}/{name}"
-        if options.write == "csv":
-            write_csv(result, path)
-        elif options.write == "json":
-            json_records(result).write.mode("overwrite").text(path)
-        else:
-            write_table(result, path)
+        with staging(spark):
+            result, path = run(name, tables), f"{options.out}/{name}"
+            if options.write == "csv":
+                write_csv(result, path)
+            elif options.write == "json":
+                json_records(result).write.mode("overwrite").text(path)
+            else:
+                write_table(result, path)
 
 
 if __name__ == "__main__":

@@ -1,7 +1,8 @@
 """Tables per department, diagnosis, payer, procedure and bed type.
 
 Departments, payers and bed types are short vocabularies, so windows over their rows run in one task. Groups by
-procedure name or diagnosis, which may be free text, are ranked over distributed sorts.
+procedure name or diagnosis, which may be free text, are counted first, and ranked over distributed sorts if
+they are many.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from ..functions import (
 from ..session import stage
 from . import fixed
 from .kpis import recovered
-from .ranking import ntile_over, rank_over
+from .ranking import fits_window, ntile_over, rank_over
 
 
 def _all_groups() -> WindowSpec:
@@ -231,7 +232,10 @@ def insurance_breakdown(
 
 
 def top_procedures(
-    procedures: DataFrame, admissions: DataFrame, top: int = fixed.TOP_PROCEDURES
+    procedures: DataFrame,
+    admissions: DataFrame,
+    top: int = fixed.TOP_PROCEDURES,
+    window_rows: int | None = None,
 ) -> DataFrame:
     """Procedures by (name, admitting department); the quartile is taken over all groups, before the limit."""
     parents = admissions.select("admission_id", "department_name")
@@ -248,9 +252,14 @@ def top_procedures(
         )
     )
     by_revenue = [F.desc("revenue"), F.asc("procedure_name"), F.asc("department_name")]
-    # Names may be many, so the quartile is taken over a distributed sort.
+    # Names may be many; past window_rows groups the quartile is taken over a distributed sort.
+    groups = stage(groups)
+    if fits_window(groups.count(), window_rows):
+        tiled = groups.withColumn("revenue_quartile", F.ntile(4).over(W.orderBy(*by_revenue)))
+    else:
+        tiled = ntile_over(groups, by_revenue, 4, "revenue_quartile")
     return (
-        ntile_over(groups, by_revenue, 4, "revenue_quartile")
+        tiled
         .withColumn("total_revenue", cents_to_double("revenue"))
         .orderBy(*by_revenue)
         .limit(top)
@@ -300,6 +309,7 @@ def diagnosis_rank(
     admissions: DataFrame,
     min_cases: int = fixed.MIN_DIAGNOSIS_CASES,
     top: int = fixed.TOP_DIAGNOSES,
+    window_rows: int | None = None,
 ) -> DataFrame:
     """(diagnosis, department) groups with enough cases; dense ranks before the limit."""
     groups = stage(
@@ -313,9 +323,10 @@ def diagnosis_rank(
         )
         .where(F.col("cases") >= min_cases)
     )
-    # Diagnoses may be free text, so the ranks are taken over distributed sorts.
+    # Diagnoses may be free text; past window_rows groups the ranks are taken over distributed sorts.
+    count = groups.count()
     for value, name in (("cases", "frequency_rank"), ("avg_bill", "cost_rank")):
-        groups = rank_over(groups, value, name, rows=0, method="dense", window_rows=-1)
+        groups = rank_over(groups, value, name, rows=count, method="dense", window_rows=window_rows)
     return (
         groups.select(
             "diagnosis",

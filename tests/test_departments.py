@@ -146,3 +146,10 @@ def test_success_rate(admissions):
     rows = by(dep.success_rate_vs_benchmark(admissions, 60).collect(), "department_name")
     assert rows["Cardio"]["success_rate_pct"] == 66.67 and not rows["Cardio"]["below_benchmark"]
     assert rows["General"]["success_rate_pct"] == 50.0 and rows["General"]["below_benchmark"]
+
+
+def test_ranks_and_quartiles_are_the_same_when_groups_are_many(procedures, admissions):
+    plain = dep.top_procedures(procedures, admissions).collect()
+    assert dep.top_procedures(procedures, admissions, window_rows=0).collect() == plain
+    ranked = dep.diagnosis_rank(admissions, min_cases=1).collect()
+    assert ranked and dep.diagnosis_rank(admissions, min_cases=1, window_rows=0).collect() == ranked
