@@ -225,8 +225,9 @@ def versions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         ((F.col("_row") + 1) % F.col("_rows_total")).alias("_row"),
         *(F.col(c).alias(f"{c}_before") for c in [*_KEYS, "n_chars", "every"]),
     )
-    order = placed.join(before, "_row").drop("_row", "_rows_total", "doc_id")
-    full = given.dropDuplicates(_KEYS).join(order, _KEYS)
+    order = placed.join(before, "_row").drop("_row", "_rows_total")
+    # Both uses need the same columns of the texts, so that Spark shuffles them once for both.
+    full = given.select(*_KEYS, "text").dropDuplicates(_KEYS).join(order, _KEYS)
     sent = full.select(
         F.col("k1_before").alias("k1"),
         F.col("k2_before").alias("k2"),
