@@ -1,12 +1,15 @@
 """Document fingerprints by invertible Bloom lookup sketches.
 
 A text is cut into paragraphs: runs of words that end where the hash of a word says so (and now and then by
-count, for texts of few different words), coarser for longer texts, so that a text has about PARAGRAPHS of them. The set of their digests goes into a table of cells;
+count, for texts of few different words). Short texts are cut finer, so that they have about PARAGRAPHS of them;
+from PARAGRAPHS * COARSEST words on a paragraph has about COARSEST words, and their number grows with the text.
+The set of their digests goes into a table of cells;
 each digest is added to three of them, one in each third: a count, the digests xored, and their check hashes
 xored. Tables subtract cell by cell. What remains are the digests that only one side has, and these are peeled:
-a cell with one digest gives it away, it is taken out of its other cells, and so on until all are empty. If
-some are left, the subtraction is repeated with larger tables, and beyond the last size the digest sets are
-subtracted directly. The likeness of two texts is the shared part of their joint digests.
+a cell with one digest gives it away, it is taken out of its other cells, and so on until all are empty. The
+first table is chosen by an estimate of the difference from the digests of one residue. If some are left, the
+subtraction is repeated with larger tables, and beyond the last size the digest sets are subtracted directly.
+The likeness of two texts is the shared part of their joint digests.
 
 All of it is DataFrame functions on one row; a row holds the digests of the texts that it compares.
 
@@ -29,7 +32,9 @@ from ..session import stage
 from .common import SPACES, WORD, text_of
 
 PARAGRAPHS = 16
-SIZES = (24, 48, 192)  # cells, in thirds
+COARSEST = 32  # words in a paragraph of a long text, about; a power of two
+SIZES = (24, 96, 384)  # cells, in thirds
+SAMPLE = 4  # one digest in so many tells how large a difference is
 ROUNDS = 12
 LONGEST = 4  # times the usual length after which a text without such words is cut
 _CELL = "struct<n:int,key:bigint,check:bigint>"
@@ -51,9 +56,9 @@ def word_hashes(text: Column) -> Column:
 
 
 def coarseness(n_words: Column) -> Column:
-    """A word in so many ends a paragraph: 1 up to PARAGRAPHS words, then powers of two."""
+    """A word in so many ends a paragraph: 1 up to PARAGRAPHS words, then powers of two up to COARSEST."""
     steps = F.ceil(F.log(2.0, F.greatest(n_words, F.lit(1)) / PARAGRAPHS) - 1e-9)
-    return F.pow(F.lit(2.0), F.greatest(steps, F.lit(0))).cast("long")
+    return F.least(F.pow(F.lit(2.0), F.greatest(steps, F.lit(0))).cast("long"), F.lit(COARSEST).cast("long"))
 
 
 def paragraphs(hashes: Column, every: Column) -> Column:
@@ -158,19 +163,38 @@ def peel(difference: Column, cells: int) -> Column:
     )
 
 
+def _apart(a: Column, b: Column) -> Column:
+    return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+
+
+def estimated_difference(a: Column, b: Column) -> Column:
+    """About how many digests only one set has: those of one residue, times SAMPLE; at least what the sizes tell."""
+
+    def sampled(digests: Column) -> Column:
+        return F.filter(digests, lambda d: F.pmod(d, F.lit(SAMPLE)) == 0)
+
+    return F.greatest(_apart(sampled(a), sampled(b)) * SAMPLE, F.abs(F.size(a) - F.size(b)))
+
+
 def difference_size(a: Column, b: Column, sizes: Sequence[int] = SIZES) -> Column:
-    """The number of digests in one set but not in the other, by tables of growing size."""
+    """The number of digests in one set but not in the other, by tables of growing size.
+
+    The first has room for the estimated difference; the result does not depend on the estimate.
+    """
 
-    def attempt(cells: int) -> Column:
+    def attempt(cells: int, expected: Column) -> Column:
         def unless_full(difference: Column) -> Column:
             # Each digest left adds at most 3 to the counts; a table much fuller than it has cells is not peeled.
             held = F.aggregate(difference, F.lit(0), lambda t, c: t + F.abs(c["n"]))
             return F.when(held <= 3 * cells, peel(difference, cells))
 
-        return let(subtract(sketch(a, cells), sketch(b, cells)), unless_full)
+        tried = let(subtract(sketch(a, cells), sketch(b, cells)), unless_full)
+        return F.when(expected * 3 <= cells * 2, tried)
 
-    direct = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.coalesce(*map(attempt, sizes), direct)
+    return let(
+        estimated_difference(a, b),
+        lambda expected: F.coalesce(*(attempt(cells, expected) for cells in sizes), _apart(a, b)),
+    )
 
 
 def likeness(a: Column, b: Column) -> Column:
