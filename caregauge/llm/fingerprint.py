@@ -1,7 +1,7 @@
 """Document fingerprints by invertible Bloom lookup sketches.
 
-A text is cut into paragraphs: runs of words that end where the hash of a word says so (and now and then by
-count, for texts of few different words). Short texts are cut finer, so that they have about PARAGRAPHS of them;
+A text is cut into paragraphs: runs of words that end where the hash of a word says so (and, where no
+word does for long, by count from the last that did, so that an edit moves no cuts beyond the next). Short texts are cut finer, so that they have about PARAGRAPHS of them;
 from PARAGRAPHS * COARSEST words on a paragraph has about COARSEST words, and their number grows with the text.
 The set of their digests goes into a table of cells;
 each digest is added to three of them, one in each third: a count, the digests xored, and their check hashes
@@ -36,7 +36,7 @@ COARSEST = 32  # words in a paragraph of a long text, about; a power of two
 SIZES = (24, 96, 384)  # cells, in thirds
 SAMPLE = 4  # one digest in so many tells how large a difference is
 ROUNDS = 12
-LONGEST = 4  # times the usual length after which a text without such words is cut
+LONGEST = 4  # times the usual length after which a run without such words is cut
 _CELL = "struct<n:int,key:bigint,check:bigint>"
 
 
@@ -64,20 +64,25 @@ def coarseness(n_words: Column) -> Column:
 def paragraphs(hashes: Column, every: Column) -> Column:
     """Distinct digests of the paragraphs of hashed words."""
     n = F.size(hashes)
+    longest = every * LONGEST
 
     def cut(places: Column) -> Column:
-        digests = F.transform(
-            places,
-            lambda end, i: let(
-                F.when(i == 0, F.lit(0)).otherwise(F.get(places, i - 1)),
-                lambda begin: F.xxhash64(F.slice(hashes, begin + 1, end - begin)),
-            ),
-        )
-        return F.array_distinct(digests)
+        def between(end: Column, i: Column) -> Column:
+            def pieces(begin: Column) -> Column:
+                return F.transform(
+                    F.sequence(F.lit(0).cast("long"), F.floor((end - begin - 1) / longest)),
+                    lambda k: let(
+                        (begin + k * longest).cast("int"),
+                        lambda at: F.xxhash64(F.slice(hashes, at + 1, F.least(end - at, longest).cast("int"))),
+                    ),
+                )
+
+            return let(F.when(i == 0, F.lit(0)).otherwise(F.get(places, i - 1)), pieces)
+
+        return F.array_distinct(F.flatten(F.transform(places, between)))
 
     ends = F.filter(
-        F.sequence(F.lit(1), n),
-        lambda p: (F.pmod(F.get(hashes, p - 1), every) == 0) | (p % (every * LONGEST) == 0) | (p == n),
+        F.sequence(F.lit(1), n), lambda p: (F.pmod(F.get(hashes, p - 1), every) == 0) | (p == n)
     )
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(let(ends, cut))
 

@@ -1,4 +1,4 @@
-"""Near copies of long texts stay alike: paragraphs are of bounded size."""
+"""Near copies stay alike: paragraphs are of bounded size, and their cuts do not depend on what comes before."""
 
 import random
 
@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from caregauge.llm import fingerprint
+from caregauge.llm.queries import document_fingerprints
+
+from .test_fingerprint import chained, word_hash, words
 
 
 def pairs_of(spark, pairs):
@@ -47,3 +50,57 @@ def test_the_estimate_starts_the_tables(spark, differ):
         fingerprint.difference_size(F.col("a"), F.col("b")).alias("n"),
     ).first()
     assert row.n == differ and differ <= row.about <= 2 * differ + 20
+
+
+def level(n):
+    every = 1
+    while n > every * 16 and every < 32:
+        every *= 2
+    return every
+
+
+def cut(text, every):
+    """Plain version: a run ends at a cutting word, at 4 * every words, or at the end."""
+    found, run = set(), []
+    hashes = [word_hash(w) for w in words(text)]
+    for i, h in enumerate(hashes, 1):
+        run.append(h)
+        if h % every == 0 or len(run) == 4 * every or i == len(hashes):
+            found.add(chained(run))
+            run = []
+    return found
+
+
+def alike(a, b):
+    every = max(level(len(words(a))), level(len(words(b))))
+    x, y = cut(a, every), cut(b, every)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_query_follows_the_rule(spark, docs, rows, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = document_fingerprints(spark, str(tmp_path)).collect()
+    known = sorted({(i, t or "") for i, t, _ in rows if i is not None}, reverse=True)
+    by_id = {r.doc_id: r for r in found}
+    for (i, t), (_, after) in zip(known, known[1:], strict=False):
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert by_id[i].near_edited == pytest.approx(alike(t, edited))
+        assert by_id[i].near_next == pytest.approx(alike(t, after))
+
+
+def test_one_inserted_word_changes_a_paragraph_or_two(spark):
+    rng = random.Random(6)
+    pairs = []
+    for n in (100, 250, 500, 2_000, 9_000):
+        base = some_words(rng, n)
+        for at in (0, 3, n // 2):
+            pairs.append((" ".join(base), " ".join([*base[:at], "w", *base[at:]])))
+            pairs.append((" ".join(base), " ".join(base[:at] + base[at + 1 :])))
+    for _, n, lost in pairs_of(spark, pairs):
+        assert n > 5 and lost <= 2
+
+
+def test_words_that_never_cut(spark):
+    few = next(w for w in "abcdefgh" if word_hash(w) % 32)
+    [(same, n, _)] = pairs_of(spark, [(f"{few} " * 5_000, f"{few} " * 4_992)])
+    assert (same, n) == (pytest.approx(1 / 2), 2)  # all have the run of 128 words, one also its last 8
