@@ -238,10 +238,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_classes(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = SIMILARITY
-) -> DataFrame:
-    """doc_id, class_id, class_size of every row."""
+def _wordless() -> Column:
+    return F.col("signature").isNull() | (F.size("signature") == 0)
+
+
+def _labelled(
+    docs: DataFrame, id_column: str, text_column: str, least: float
+) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (digest, keep_id, label) of every node: its smallest id and its class."""
     rows = stage(signed(docs, id_column, text_column))
     nodes = stage(
         rows.where("signature is not null and size(signature) > 0")
@@ -276,17 +280,23 @@ def near_classes(
         labels = components(links)
     links = links.unionByName(stage(_across(_open_buckets(shared, labels), texts, least)))
     labels = components(links)
-    classed = nodes.join(labels, "node", "left").select(
+    return rows, nodes.join(labels, "node", "left").select(
         "digest", "keep_id", F.coalesce("label", "node").alias("label")
     )
+
+
+def near_classes(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = SIMILARITY
+) -> DataFrame:
+    """doc_id, class_id, class_size of every row."""
+    rows, classed = _labelled(docs, id_column, text_column, least)
     counted = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).join(classed, "digest")
     classes = counted.groupBy("label").agg(F.min("keep_id").alias("class_id"), F.sum("_n").alias("class_size"))
     of_digest = classed.select("digest", "label").join(classes, "label").drop("label")
-    wordless = F.col("signature").isNull() | (F.size("signature") == 0)
     return rows.join(of_digest, "digest", "left").select(
         "doc_id",
-        F.when(wordless, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(wordless, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),
+        F.when(_wordless(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(_wordless(), F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),
     )
 
 
@@ -366,12 +376,21 @@ def _across(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def one_of_each_class(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each class the row with the smallest id.
+    """The rows of docs that stay, with all their columns: of each class the text with the smallest id.
 
-    Of rows with equal ids one stays; rows without an id stay if their class has no other.
+    Of rows alike in id and words one stays; different texts stay even if they share an id or have none. Texts in
+    classes without any id stay once per class. A row with neither id nor words is a class of its own and stays.
     """
-    found = near_classes(docs, id_column, text_column)
-    staying = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_nd_id")).distinct()
-    mine = docs.join(staying, docs[id_column].eqNullSafe(staying["_nd_id"]))
-    first = W.partitionBy("_nd_id").orderBy(F.xxhash64(*docs.columns))
-    return mine.withColumn("_nd_no", F.row_number().over(first)).where("_nd_no = 1").select(*docs.columns)
+    rows, classed = _labelled(docs, id_column, text_column, SIMILARITY)
+    first = F.min(F.struct(F.col("keep_id").isNull().alias("no_id"), "keep_id", "digest")).alias("first")
+    chosen = classed.groupBy("label").agg(first).select(F.col("first.keep_id").alias("_nd_id"), F.col("first.digest").alias("_nd_digest"))
+    empty = rows.where(_wordless()).select(F.col("doc_id").alias("_nd_id"), F.col("digest").alias("_nd_digest")).distinct()
+    # Id and digest as one value that is never null, so that the join and the numbering need one shuffle.
+    key = F.struct(F.col("_nd_id").isNull(), F.coalesce(F.col("_nd_id").cast("string"), F.lit("")), "_nd_digest").alias("_nd_key")
+    staying = chosen.unionByName(empty).select(key)
+    mine = docs.withColumns({"_nd_id": F.col(id_column), "_nd_digest": _digest(text_of(text_column))})
+    alone = F.col("_nd_id").isNull() & (F.col("_nd_digest") == F.unhex(F.md5(F.lit(""))))
+    mine = mine.select(*docs.columns, key, F.when(alone, F.monotonically_increasing_id()).alias("_nd_own"))
+    numbered = W.partitionBy("_nd_key", "_nd_own").orderBy(F.xxhash64(*docs.columns))
+    found = mine.join(staying, "_nd_key").withColumn("_nd_no", F.row_number().over(numbered))
+    return found.where("_nd_no = 1").select(*docs.columns)
