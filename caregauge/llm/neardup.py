@@ -186,8 +186,8 @@ def signed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 def _digest(text: Column) -> Column:
     """The digest of `signed` as a DataFrame function."""
-    form = F.regexp_replace(F.regexp_replace(text, SPACES, " "), "^ | $", "")
-    return F.unhex(F.md5(form))
+    # Not by a pattern: in Java's, $ also stands before a line terminator that ends the text.
+    return F.unhex(F.md5(F.trim(F.regexp_replace(text, SPACES, " "))))
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:

@@ -1,7 +1,10 @@
-"""Which rows stay where ids are missing or shared."""
+"""Which rows stay where ids are missing or shared, and that both digests of a text agree."""
 
+import hashlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from caregauge.llm import neardup
 
 A = "a text about apples and pears and plums and nuts in late autumn or so"
@@ -26,3 +29,11 @@ def test_texts_without_an_id_or_with_a_shared_one_stay(spark):
             (None, ""), (None, ""), (4, ""), (5, ""),
         ]
     )
+
+
+def test_both_digests_agree_on_odd_endings(spark):
+    ends = ["", " ", "\n", "\r\n", "\u0085", "\u2028", "\u2029", "\x0b", "\x1c", "\u00a0"]
+    texts = [f"{a}one  two{b}{c}" for a in ends for b in ends for c in ends]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", neardup._digest(F.col("text")).alias("d"))
+    wrong = [r.text for r in df.collect() if bytes(r.d) != hashlib.md5(neardup.normal_form(r.text)).digest()]
+    assert not wrong
