@@ -71,6 +71,11 @@ def staging(spark: SparkSession) -> Iterator[None]:
         spark.sql(f"DROP DATABASE {name} CASCADE")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where staged tables go: the folder of the `staging` block, if any, else the shared folder."""
+    return (_scope.get() or shared_folder(spark)).rstrip("/")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -78,7 +83,7 @@ def stage(df: DataFrame) -> DataFrame:
     the optimizer gets real sizes. Inside `staging` the table goes with the block, else it stays.
     """
     spark = df.sparkSession
-    path = f"{(_scope.get() or shared_folder(spark)).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
