@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import chat, exactdedup, fingerprint, language, mixing, neardup, packing, quality, secrets, substrings
+from . import centroids, chat, exactdedup, fingerprint, jaccard, language, mixing, neardup, packing, quality, secrets
+from . import substrings, whitening
 from .common import fold, ship
 
 
@@ -161,6 +164,29 @@ def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("copy")
 
 
+def centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.clustered(centroids.integer_vectors(_read(spark, folder, "embeddings")))
+    written = [",".join(map(str, c)) for c in found.centroids]
+    digests = [(j, hashlib.sha256(c.encode()).hexdigest()) for j, c in enumerate(written)]
+    named = spark.createDataFrame(digests, "cluster int, centroid_sha256 string")
+    # A row per centroid, hence the broadcasts and the window.
+    totals = found.rows.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    totals = totals.withColumn("inertia", F.sum("cluster_inertia").over(W.partitionBy()))
+    return (
+        found.rows.join(F.broadcast(totals), "cluster")
+        .join(F.broadcast(named), "cluster")
+        .select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    )
+
+
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.linked(_read(spark, folder, "documents"))
+
+
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(_read(spark, folder, "embeddings"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mix_sources,
@@ -173,4 +199,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup,
         "op9_document_fingerprints": document_fingerprints,
         "op10_language_id": language_id,
+        "op11_centroid_clusters": centroid_clusters,
+        "op12_ngram_jaccard_join": ngram_jaccard_join,
+        "op13_embedding_whitening": embedding_whitening,
     }

@@ -110,10 +110,83 @@ FROM written GROUP BY conv_id
 """
 
 
+def _centroid_clusters(k: int = 8, rounds: int = 10) -> str:
+    """Each round is a pair of tables: the nearest centroid of every vector, and the floored means."""
+    parts = [
+        """kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x,
+         row_number() OVER () AS row
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: isfinite(c))) = 64
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1)::INTEGER AS cluster, x AS c
+  FROM kept ORDER BY sha256('3:' || vec_id), x LIMIT {k}
+)""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT row, vec_id, x, min({{'d': d, 'k': cluster}}) AS best
+  FROM (SELECT row, vec_id, x, cluster,
+               list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+        FROM kept, c{r})
+  GROUP BY ALL
+)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.cluster, coalesce(m.c, c{r}.c) AS c
+  FROM c{r} LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY place) AS c
+    FROM (SELECT best.k AS cluster, place, sum(x[place])::BIGINT AS s, count(*) AS n
+          FROM a{r}, range(1, 65) AS places(place) GROUP BY 1, 2)
+    GROUP BY cluster
+  ) m USING (cluster)
+)""")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, best.k AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON best.k = c{rounds}.cluster
+"""
+
+
+NGRAM_JACCARD_JOIN = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, row_number() OVER () AS row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, row,
+         CASE WHEN len(w) = 0 THEN []
+              ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1),
+                                                lambda i: array_to_string(w[i:i+3], ' '))) END AS shingles
+  FROM worded
+), kinds AS MATERIALIZED (
+  SELECT row_number() OVER () AS kind, min(doc_id) AS first, list_sort(shingles) AS shingles, list(row) AS members
+  FROM sets WHERE len(shingles) > 0 GROUP BY list_sort(shingles)
+), places AS (SELECT kind, len(shingles) AS n, unnest(shingles) AS s FROM kinds),
+links AS MATERIALIZED (
+  SELECT a.kind AS a, b.kind AS b
+  FROM places a JOIN places b ON a.s = b.s AND a.kind <> b.kind
+  GROUP BY a.kind, b.kind, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(kind, other) AS (
+  SELECT kind, kind FROM kinds UNION SELECT reach.kind, links.b FROM reach JOIN links ON reach.other = links.a
+), classes AS (
+  SELECT reach.kind, min(kinds.first) AS component_id FROM reach JOIN kinds ON reach.other = kinds.kind GROUP BY reach.kind
+), placed AS (SELECT unnest(kinds.members) AS row, component_id FROM kinds JOIN classes USING (kind))
+SELECT sets.doc_id, len(shingles)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sets LEFT JOIN placed USING (row)
+"""
+
+
 def llm_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": MIX_SOURCES,
         "op2_secret_scan": _secret_scan(),
         "op5_exact_dedup": EXACT_DEDUP,
         "op7_chat_format": CHAT_FORMAT,
+        "op11_centroid_clusters": _centroid_clusters(),
+        "op12_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
     }
