@@ -1,57 +1,79 @@
-"""Shared steps of the learned models: label codes, buckets, class weights and ROC-AUC."""
+"""Shared steps of the learned models: label codes, folds, class weights and ROC-AUC."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import global_position
+from .ranking import cumulative_counts, global_position
 
+# A vocabulary of at most so many values is sent to every task that codes its column.
+SMALL_VOCABULARY = 10_000
 
-def with_codes(df: DataFrame, codes: Mapping[str, str]) -> DataFrame:
-    """Add an integer code per text column: alphabetical position from 0, missing text last.
 
-    Only the vocabularies (departments, severities and so on) reach the driver. The cast also drops the
-    nominal-attribute metadata, so that models treat the code as a number.
+def dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, code) of every text in the columns: alphabetical position from 0 within its column.
+
+    Distinct values are found and ordered in a distributed way; none reaches the driver.
     """
-    indexer = StringIndexer(
-        inputCols=list(codes),
-        outputCols=[f"_{name}" for name in codes.values()],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    )
-    indexed = indexer.fit(df).transform(df)
-    return indexed.select(
-        *df.columns, *(F.col(f"_{name}").cast("int").alias(name) for name in codes.values())
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
+    values = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
+    placed = global_position(values, [F.asc("column"), F.asc("value")])
+    # A row per column.
+    firsts = placed.groupBy("column").agg(F.min("_row").alias("_first"))
+    return placed.join(F.broadcast(firsts), "column").select(
+        "column", "value", (F.col("_row") - F.col("_first")).cast("int").alias("code")
     )
 
 
+def with_codes(df: DataFrame, codes: Mapping[str, str], small: int = SMALL_VOCABULARY) -> DataFrame:
+    """Add an integer code per text column: alphabetical position from 0, missing text last.
+
+    df is read for the vocabularies and again by the result, and should be staged. A vocabulary of more than
+    `small` values is joined by shuffle, unless the session finds it small enough in bytes.
+    """
+    words = dictionary(df, list(codes))
+    sizes = {r["column"]: r["n"] for r in words.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    coded = df
+    for column, name in codes.items():
+        size = sizes.get(column, 0)
+        own = words.where(F.col("column") == column).select(
+            F.col("value").alias(f"_value_{name}"), F.col("code").alias(f"_code_{name}")
+        )
+        own = F.broadcast(own) if size <= small else own
+        coded = coded.join(own, F.col(column).cast("string") == F.col(f"_value_{name}"), "left")
+        coded = coded.withColumn(name, F.coalesce(F.col(f"_code_{name}"), F.lit(size)))
+        coded = coded.drop(f"_value_{name}", f"_code_{name}")
+    return coded
+
+
 def stratified_folds(
     df: DataFrame, key: str, label: str, folds: int, salt: str, name: str = "fold"
 ) -> DataFrame:
-    """Add a fold number; the rows of each label differ by at most one between folds.
+    """Add a fold number; the rows of each label differ by at most one between folds. The result is staged.
 
-    Within a label, rows stand in the order of a hash of their key and are dealt out in turn. The key must be
-    unique; the order is made by a distributed sort, and does not depend on partitions or row order.
+    Within a label, rows stand in the order of a hash of their key and are dealt out in turn. One distributed
+    sort makes the order and carries all columns, so no row is lost or repeated: rows of one key, or without a
+    key, are told apart by their other columns. The result does not depend on partitions or row order.
     """
     digest = F.md5(F.concat(F.lit(salt), F.col(key).cast("string")))
-    keys = df.select(F.col(key).alias("_key"), F.col(label).alias("_label"), digest.alias("_digest"))
-    placed = global_position(keys, [F.asc_nulls_last("_label"), F.asc("_digest"), F.asc("_key")])
+    # The first 60 bits as a number sort faster than text.
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    columns = df.columns
+    keyed = df.withColumns({"_place": place, "_rest": F.xxhash64(*columns)})
+    order = [F.asc_nulls_last(label), F.asc_nulls_last("_place"), F.asc_nulls_last(key), F.asc("_rest")]
+    placed = global_position(keyed, order)
     # One row per label.
-    firsts = placed.groupBy("_label").agg(F.min("_row").alias("_first")).collect()
+    firsts = placed.groupBy(label).agg(F.min("_row").alias("_first")).collect()
     first = reduce(
-        lambda case, r: case.when(F.col("_label").eqNullSafe(F.lit(r["_label"])), r["_first"]),
+        lambda case, r: case.when(F.col(label).eqNullSafe(F.lit(r[label])), r["_first"]),
         firsts,
         F.when(F.lit(False), 0),
     )
-    number = ((F.col("_row") - first) % folds).cast("int").alias(name)
-    dealt = placed.select("_key", number)
-    return df.join(dealt, df[key] == dealt["_key"]).select(*df.columns, name)
+    return placed.select(*columns, ((F.col("_row") - first) % folds).cast("int").alias(name))
 
 
 def label_counts(df: DataFrame, label: str) -> dict[int, int]:
@@ -67,28 +89,37 @@ def balanced_weight(counts: Mapping[int, int], label: str) -> Column:
     )
 
 
-def roc_auc(scored: DataFrame, label: str, score: str) -> float | None:
-    """Area under the exact curve; numBins=0 keeps every distinct score. None without rows of both labels."""
-    if not all(label_counts(scored, label).get(y) for y in (0, 1)):
-        return None
-    return BinaryClassificationEvaluator(
-        labelCol=label, rawPredictionCol=score, metricName="areaUnderROC", numBins=0
-    ).evaluate(scored)
-
-
-def cross_validated_auc(
-    df: DataFrame,
-    folds: int,
-    label: str,
-    score: str,
-    fit_and_score: Callable[[DataFrame, DataFrame], DataFrame],
-) -> float | None:
-    """Mean AUC over the values of column `fold`; each fold is scored by a model fitted on the others.
-
-    None if the area of some fold is undefined.
+def auc_table(scored: DataFrame, label: str, score: str) -> DataFrame:
+    """One row: positives, negatives and the area under the ROC curve (null without rows of both labels).
+
+    The area is the share of pairs of a positive and a negative in which the positive has the higher score, ties
+    counting half. It follows from the ranks of distinct scores, found by a distributed sort, in whole numbers.
+    Rows without a score or a label do not count.
     """
-    areas = []
-    for k in range(folds):
-        train, held_out = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
-        areas.append(roc_auc(fit_and_score(train, held_out), label, score))
-    return None if None in areas else sum(areas) / folds
+    present = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_score"))
+    values = present.agg(
+        F.count_if(F.col(label) == 1).alias("_positives"), F.count_if(F.col(label) == 0).alias("_negatives")
+    )
+    ranked = cumulative_counts(values, [F.asc("_score")], "_negatives", "_below")
+    wide = "decimal(38,0)"
+    # Twice the pairs won, so that halves stay whole.
+    won = F.col("_positives").cast("decimal(19,0)") * (2 * F.col("_below") + F.col("_negatives")).cast("decimal(19,0)")
+    sums = ranked.agg(
+        F.coalesce(F.sum("_positives"), F.lit(0)).alias("positives"),
+        F.coalesce(F.sum("_negatives"), F.lit(0)).alias("negatives"),
+        F.sum(won.cast(wide)).alias("_won"),
+    )
+    pairs = F.col("positives").cast("double") * F.col("negatives").cast("double") * 2
+    area = F.when(pairs > 0, F.col("_won").cast("double") / pairs)
+    return sums.select("positives", "negatives", area.alias("auc"))
+
+
+def roc_auc(scored: DataFrame, label: str, score: str) -> float | None:
+    """The area alone; None without rows of both labels."""
+    return auc_table(scored, label, score).first()["auc"]
+
+
+def mean_auc(folds: Sequence[DataFrame], label: str, score: str) -> float | None:
+    """Mean area over the scored folds; None if the area of some fold is undefined."""
+    areas = [roc_auc(fold, label, score) for fold in folds]
+    return None if None in areas else sum(areas) / len(areas)

@@ -70,6 +70,18 @@ def global_position(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
+def cumulative_counts(df: DataFrame, order: Sequence[Column], count: str, name: str) -> DataFrame:
+    """Add `name`, the sum of `count` over the rows before, in a distributed order. The order must be total."""
+    placed = _sorted_and_staged(df, order)
+    offsets = _partition_offsets(placed, F.col(count))
+    earlier = W.partitionBy("_part").orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
+    return (
+        placed.withColumn("_earlier", F.coalesce(F.sum(count).over(earlier), F.lit(0)))
+        .join(F.broadcast(offsets), "_part")
+        .select(*df.columns, (F.col("_weight_before") + F.col("_earlier")).alias(name))
+    )
+
+
 def ntile_over(df: DataFrame, order: Sequence[Column], tiles: int, name: str) -> DataFrame:
     """NTILE over the whole frame: sizes differ by at most one, larger tiles first."""
     size = F.floor(F.col("_rows_total") / tiles)

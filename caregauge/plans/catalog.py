@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from ..operators import readmission_model as forest
 from ..operators import risk_model as risk
 from ..operators import segmentation as seg
 from ..operators import trends
-from ..operators.learning import stratified_folds
-from ..session import shared_folder, stage
+from ..operators.learning import auc_table, dictionary, stratified_folds
+from ..session import scratch_folder, stage
 from ..sources import (
     StarTables,
     json_records,
@@ -34,8 +35,10 @@ from ..sources import (
     row_counts,
     with_date_parts,
     write_csv,
+    write_parts,
     write_table,
 )
+from .given import forest_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,7 +97,7 @@ def query_read(t):
 @_query
 def csv_round_trip(t):
     table = trends.api_yoy(t.admissions("admission_date", "total_bill"))
-    path = f"{shared_folder(t.spark)}/csv-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(t.spark)}/csv-{uuid.uuid4().hex}"
     write_csv(table, path)
     return read_table(t.spark, "csv", path, schema=table.schema)
 
@@ -104,12 +107,28 @@ def monthly_revenue_table(t):
     """The rollup stored as a table, replacing the one that is there."""
     columns = ("admission_date", "total_bill", "length_of_stay", "readmitted_30days")
     rollup = trends.monthly_revenue_rollup(t.admissions(*columns))
-    path = f"{shared_folder(t.spark)}/monthly-revenue-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(t.spark)}/monthly-revenue-{uuid.uuid4().hex}"
     write_table(t.spark.range(1).select(F.lit("old").alias("year_month")), path)
     write_table(rollup, path)
     return read_table(t.spark, "parquet", path)
 
 
+RELOADED = ("1997-03", "1998-11")
+LEAST_BILL = 1000
+
+
+@_query
+def monthly_rollup_reload(t):
+    """The stored rollup after a second load, of two months, in which bills below a limit are gone."""
+    facts = t.admissions("admission_date", "total_bill", "length_of_stay", "readmitted_30days")
+    path = f"{scratch_folder(t.spark)}/monthly-rollup-{uuid.uuid4().hex}"
+    whole = trends.monthly_revenue_rollup(facts)
+    write_parts(whole, path, ["year_month"])
+    again = facts.where(F.date_format("admission_date", "yyyy-MM").isin(*RELOADED) & (F.col("total_bill") >= LEAST_BILL))
+    write_parts(trends.monthly_revenue_rollup(again), path, ["year_month"])
+    return read_table(t.spark, "parquet", path, schema=whole.schema)
+
+
 @_query
 def table_row_counts(t):
     return row_counts({name: t.raw(name) for name in TABLES})
@@ -462,13 +481,57 @@ def readmission_model(t):
 
 @_query
 def readmission_model_check(t):
-    """What must hold for any forest: every held-out admission has one prediction in range."""
-    return forest.readmission_model(_features(t)).select(
+    """What must hold for any forest: every held-out admission has one prediction in range, and a walk over the
+    exported nodes gives the same."""
+    features = _features(t)
+    walked = forest.walked_model(features).select(
+        F.col("admission_id").alias("_id"), F.col("prediction").alias("_class"), F.col("probability").alias("_share")
+    )
+    both = forest.readmission_model(features).join(walked, F.col("admission_id") == F.col("_id"), "left")
+    return both.select(
         "admission_id",
         forest.LABEL,
         F.col("probability").between(0, 1).alias("probability_in_range"),
         F.col("prediction").isin(0, 1).alias("prediction_valid"),
+        ((F.col("prediction") == F.col("_class")) & (F.abs(F.col("probability") - F.col("_share")) < 1e-12)).alias("equals_walk"),
+    )
+
+
+def _given_scores(t: StarTables) -> DataFrame:
+    return forest.walk(_features(t), t.spark.createDataFrame(forest_rows(), forest.NODES))
+
+
+@_query
+def forest_scores_of_given(t):
+    """All complete admissions, scored by a walk over the nodes of a given forest."""
+    return _given_scores(t).select("admission_id", forest.LABEL, "prediction", "probability")
+
+
+@_query
+def confusion_matrix_of_given_forest(t):
+    return forest.confusion_matrix(_given_scores(t))
+
+
+@_query
+def code_dictionary(t):
+    """The codes of all text inputs of the risk model."""
+    return dictionary(t.admissions(*risk.CODES), list(risk.CODES))
+
+
+@_query
+def auc_of_given_score(t):
+    """Area under the curve of the readmission rate of an admission's department and severity."""
+    facts = t.admissions("department_name", "severity", "readmitted_30days")
+    counted = facts.groupBy("department_name", "severity").agg(
+        F.sum("readmitted_30days").alias("ones"), F.count(F.lit(1)).alias("n")
+    )
+    scored = facts.join(
+        counted.select(
+            F.col("department_name").alias("_d"), F.col("severity").alias("_s"), (F.col("ones") / F.col("n")).alias("score")
+        ),
+        F.col("department_name").eqNullSafe(F.col("_d")) & F.col("severity").eqNullSafe(F.col("_s")),
     )
+    return auc_table(scored, "readmitted_30days", "score")
 
 
 @_query
@@ -476,6 +539,28 @@ def model_auc(t):
     return forest.model_auc(_features(t))
 
 
+def _same_area(scored: DataFrame, score: str) -> bool:
+    """Whether the area from ranks is that of the library's evaluator on the exact curve."""
+    kept = stage(scored.select(forest.LABEL, score))
+    evaluator = BinaryClassificationEvaluator(labelCol=forest.LABEL, rawPredictionCol=score, numBins=0)
+    return abs(evaluator.evaluate(kept) - auc_table(kept, forest.LABEL, score).first()["auc"]) < 1e-9
+
+
+@_query
+def model_auc_check(t):
+    """The held-out and the cross-validated areas, each found in two ways."""
+    features = _features(t)
+    held_out = _same_area(forest.readmission_model(features), "probability")
+    folds = all(_same_area(fold, "probability") for fold in forest.cross_validated(features))
+    row = forest.model_auc(features)
+    return row.select(
+        "admissions",
+        F.col("auc").between(0, 1).alias("in_range"),
+        F.lit(held_out).alias("held_out_equal"),
+        F.lit(folds).alias("folds_equal"),
+    )
+
+
 @_query
 def feature_importance(t):
     return forest.feature_importance(_features(t))
@@ -543,6 +628,15 @@ def segment_patients_check(t):
     )
 
 
+@_query
+def segment_assignment_of_given(t):
+    """Patients by the nearest of four centres, the means of given segments, with the total squared distance."""
+    patients = stage(_fixed_segments(t))
+    found = seg.segments_of(patients, "segment").assign(patients.drop("segment"))
+    total = found.agg(round_half_up(F.sum("distance"), 2).cast("double").alias("total")).scalar()
+    return found.select("patient_id", "segment", total.alias("total_cost"))
+
+
 @_query
 def segment_labels(t):
     return seg.segment_labels(_clusters(t))
@@ -620,6 +714,28 @@ def risk_model_cv_auc(t):
     return risk.risk_model_cv_auc(_risk_frame(t))
 
 
+@_query
+def risk_model_optimality(t):
+    """Per fold: whether the regression is an optimum and the calibration holds the means of pooled blocks."""
+    found = risk.risk_model_optimality(_risk_frame(t))
+    return found.select(
+        "fold",
+        (F.col("gradient") < risk.GRADIENT).alias("gradient_vanishes"),
+        (F.col("off_block") < 1e-9).alias("values_are_block_means"),
+        F.col("monotone"),
+    )
+
+
+@_query
+def risk_model_cv_auc_check(t):
+    """The area of each outer fold, found in two ways."""
+    frame = _risk_frame(t)
+    folds = all(_same_area(fold, "expected_prob") for fold in risk.cross_validated(frame))
+    return risk.risk_model_cv_auc(frame).select(
+        "admissions", F.col("cv_auc").between(0, 1).alias("in_range"), F.lit(folds).alias("folds_equal")
+    )
+
+
 @_query
 def expected_probability(t):
     scored = risk.expected_probability(_risk_frame(t))

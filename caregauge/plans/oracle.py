@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from ..operators.fixed import AGE_LABELS, AGE_LIMITS, FOREST_FEATURES, VISIT_LABELS
 from . import catalog as c
+from .given import DEPTH, TREES, forest_rows
 
 ADMISSIONS = """
 admissions AS (
@@ -143,12 +144,18 @@ def _sources() -> dict[str, str]:
         SELECT CAST(year(admission_date) AS INTEGER) AS year, count(*) AS admissions,
                {_r('sum(total_bill)', 0)} AS revenue
         FROM admissions GROUP BY 1"""
-    rollup = _with(ADMISSIONS) + f"""
+    def rolled(table: str) -> str:
+        return f"""
         SELECT {MONTH} AS year_month, {_dbl('sum(total_bill)')} AS total_revenue,
                count(*) AS total_admissions,
                {_even('avg(length_of_stay)', 2)} AS avg_los,
                {_big('sum(readmitted_30days)')} AS readmissions
-        FROM admissions GROUP BY 1"""
+        FROM {table} GROUP BY 1"""
+
+    rollup = _with(ADMISSIONS) + rolled("admissions")
+    months = ", ".join(f"'{m}'" for m in c.RELOADED)
+    reloaded = f"""
+        reloaded AS (SELECT * FROM admissions WHERE {MONTH} NOT IN ({months}) OR total_bill >= {c.LEAST_BILL})"""
     return {
         "table_read": "SELECT * FROM customer",
         "query_read": "SELECT o_orderpriority AS severity, count(*) AS total FROM orders"
@@ -157,6 +164,7 @@ def _sources() -> dict[str, str]:
         "api_yoy": yoy,
         "monthly_revenue_table": rollup,
         "monthly_revenue_rollup": rollup,
+        "monthly_rollup_reload": _with(ADMISSIONS, reloaded) + rolled("reloaded"),
         "table_row_counts": counts,
         "json_output": _with(ADMISSIONS)
         + """SELECT '{"severity":"' || severity || '","total":' || count(*) || '}' AS record
@@ -538,6 +546,17 @@ def _patients() -> dict[str, str]:
           WHERE age IS NOT NULL AND total_spend IS NOT NULL AND avg_los IS NOT NULL
         )"""
     spend = _ratio("sum(CAST(total_spend AS DECIMAL(18, 2)))", "count(*)")
+    inputs = ("total_spend", "visits", "avg_los", "readmissions", "age")
+    means = ", ".join(f"avg({x}::DOUBLE) AS m_{x}, stddev_samp({x}::DOUBLE) AS d_{x}" for x in inputs)
+    units = ", ".join(f"({x}::DOUBLE - m_{x}) / d_{x} AS {x}" for x in inputs)
+    middles = ", ".join(f"avg({x}) AS c_{x}" for x in inputs)
+    square = " + ".join(f"({x} - c_{x}) * ({x} - c_{x})" for x in inputs)
+    assigned = f"""
+        units AS (SELECT patient_id, CAST(patient_id % 4 AS INTEGER) AS given, {units}
+                  FROM features, (SELECT {means} FROM features)),
+        centres AS (SELECT given AS segment, {middles} FROM units GROUP BY 1),
+        nearest AS (SELECT patient_id, min({{'d': {square}, 'segment': segment}}) AS best
+                    FROM units, centres GROUP BY 1)"""
     labelled = f"""
         g AS (SELECT *, CAST(patient_id % 4 AS INTEGER) AS segment FROM features),
         means AS (SELECT segment, {spend} AS spend, avg(visits) AS visits, avg(avg_los) AS los
@@ -600,6 +619,10 @@ def _patients() -> dict[str, str]:
                    {_r(_pct('count(*) FILTER (admission_date < last_day)', 'count(*)'), 2)}
                      AS return_rate_pct
             FROM d WHERE outcome = 'Referred'""",
+        "segment_assignment_of_given": _with(ADMISSIONS, PATIENTS, features, assigned) + f"""
+            SELECT patient_id, best.segment AS segment,
+                   {_r('(SELECT sum(best.d) FROM nearest)', 2)} AS total_cost
+            FROM nearest""",
         "segment_summary_of_given": _with(ADMISSIONS, PATIENTS, features, labelled) + f"""
             SELECT segment_label, count(*) AS patients, {spend} AS avg_spend,
                    {_dbl('sum(CAST(total_spend AS DECIMAL(18, 2)))')} AS total_revenue
@@ -662,6 +685,10 @@ def _codes(*columns: str) -> str:
     )
 
 
+# Text columns that the risk model codes.
+CODED = ("severity", "department_name", "diagnosis", "bed_type", "admission_type", "gender", "insurance_provider")
+
+
 def _fold(label: str, salt: str) -> str:
     """Position among the rows of a label by a hash of the key, dealt out in turn to 5 folds."""
     return f"""(row_number() OVER (PARTITION BY {label} ORDER BY md5('{salt}' || admission_id), admission_id)
@@ -700,14 +727,75 @@ def _models() -> dict[str, str]:
           SELECT *, CASE WHEN {_fold('readmitted_30days', 'split')} = 0 THEN 'test' ELSE 'train' END AS part
           FROM features WHERE age IS NOT NULL
         )"""
+    words = " UNION ALL ".join(f"SELECT '{x}' AS \"column\", {x} AS value FROM joined" for x in CODED)
+    dictionary = f"""
+        joined AS (SELECT a.*, p.gender FROM admissions a LEFT JOIN patients p ON a.patient_id = p.patient_id),
+        words AS ({words})"""
+    # A row per admission and tree, taken from node to node.
+    steps = "".join(
+        f""",
+        at{i + 1} AS (
+          SELECT r.admission_id, r.readmitted_30days, r.x, r.tree,
+                 CASE WHEN r.x[n.feature + 1] <= n.threshold THEN n.lft ELSE n.rgt END AS node
+          FROM at{i} r JOIN nodes n ON n.tree = r.tree AND n.node = r.node
+        )"""
+        for i in range(DEPTH)
+    )
+    values = ", ".join(
+        f"({t}, {n}, {f}, {'NULL' if v is None else v}::DOUBLE, {left}, {right}, {s}::DOUBLE)"
+        for t, n, f, v, left, right, s in forest_rows()
+    )
+    inputs = ", ".join(f"{f}::DOUBLE" for f in FOREST_FEATURES)
+    given = f"""
+        nodes(tree, node, feature, threshold, lft, rgt, share) AS (VALUES {values}),
+        at0 AS (
+          SELECT admission_id, readmitted_30days, [{inputs}] AS x, tree, 0 AS node
+          FROM features, range({TREES}) AS trees(tree) WHERE age IS NOT NULL
+        ){steps},
+        shares AS (
+          SELECT admission_id, readmitted_30days, avg(share) AS probability
+          FROM at{DEPTH} r JOIN nodes n ON n.tree = r.tree AND n.node = r.node GROUP BY 1, 2
+        ),
+        scored AS (SELECT *, CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS prediction FROM shares)"""
+    walked = _with(ADMISSIONS, PATIENTS, features, given)
     return {
         "readmission_features": _with(ADMISSIONS, PATIENTS, features)
         + "SELECT * FROM features WHERE age IS NOT NULL",
         "train_test_split_stratified": _with(ADMISSIONS, PATIENTS, features, split)
         + "SELECT admission_id, readmitted_30days, part FROM split",
         "readmission_model_check": _with(ADMISSIONS, PATIENTS, features, split) + """
-            SELECT admission_id, readmitted_30days, true AS probability_in_range, true AS prediction_valid
+            SELECT admission_id, readmitted_30days, true AS probability_in_range, true AS prediction_valid,
+                   true AS equals_walk
             FROM split WHERE part = 'test'""",
+        "forest_scores_of_given": walked + "SELECT admission_id, readmitted_30days, prediction, probability FROM scored",
+        "confusion_matrix_of_given_forest": walked + """
+            SELECT a.v AS actual, p.v AS predicted, count(admission_id) AS admissions
+            FROM (VALUES (0), (1)) a(v) CROSS JOIN (VALUES (0), (1)) p(v)
+            LEFT JOIN scored ON readmitted_30days = a.v AND prediction = p.v
+            GROUP BY 1, 2""",
+        "model_auc_check": _with(ADMISSIONS, PATIENTS, features) + """
+            SELECT count(*) AS admissions, true AS in_range, true AS held_out_equal, true AS folds_equal
+            FROM features WHERE age IS NOT NULL""",
+        "risk_model_cv_auc_check": _with(ADMISSIONS) + """
+            SELECT count(*) AS admissions, true AS in_range, true AS folds_equal FROM admissions""",
+        "risk_model_optimality": """
+            SELECT range::INTEGER AS fold, true AS gradient_vanishes, true AS values_are_block_means, true AS monotone
+            FROM range(5)""",
+        "code_dictionary": _with(ADMISSIONS, PATIENTS, dictionary) + """
+            SELECT "column", value, CAST(row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS INTEGER) AS code
+            FROM (SELECT DISTINCT * FROM words WHERE value IS NOT NULL)""",
+        "auc_of_given_score": _with(ADMISSIONS) + """,
+            cells AS (SELECT department_name, severity, sum(readmitted_30days)::DOUBLE / count(*) AS score,
+                             count(*) FILTER (readmitted_30days = 1) AS pos,
+                             count(*) FILTER (readmitted_30days = 0) AS neg
+                      FROM admissions GROUP BY 1, 2),
+            ranked AS (SELECT score, sum(pos) AS pos, sum(neg) AS neg,
+                              coalesce(sum(sum(neg)) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
+                                                           AND 1 PRECEDING), 0) AS below
+                       FROM cells GROUP BY score)
+            SELECT sum(pos)::BIGINT AS positives, sum(neg)::BIGINT AS negatives,
+                   sum(pos * (2 * below + neg))::DOUBLE / (sum(pos)::DOUBLE * sum(neg)::DOUBLE * 2) AS auc
+            FROM ranked""",
         "confusion_matrix_totals": _with(ADMISSIONS, PATIENTS, features, split) + """
             SELECT y AS actual, count(admission_id) AS admissions
             FROM (VALUES (0), (1)) v(y) LEFT JOIN split ON readmitted_30days = y AND part = 'test'

@@ -88,10 +88,20 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows of a fit in one partition; a dozen numbers a row take some 50 MB.
+ROWS_PER_PART = 500_000
+LEAST_PARTS = 16
+
+
+def layout(rows: int, rows_per_part: int = ROWS_PER_PART, least: int = LEAST_PARTS) -> int:
+    """Partitions for a fit on so many rows: from the rows alone, so that a task's size is bounded on any machine."""
+    return max(least, -(-rows // rows_per_part))
+
+
 def settled(df: DataFrame, key: str, partitions: int) -> DataFrame:
     """df dealt by a unique key into so many sorted partitions: the same layout on any machine.
 
-    For fits that draw random numbers per partition. `partitions` is a parameter of the fit, never
-    taken from the machine.
+    For fits that draw random numbers per partition. `partitions` is a parameter of the fit or follows from
+    its rows (`layout`); it is never taken from the machine.
     """
     return df.repartition(partitions, key).sortWithinPartitions(key)

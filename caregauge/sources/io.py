@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+import re
+import uuid
+from collections.abc import Callable, Mapping, Sequence
+from contextlib import closing, contextmanager
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +112,123 @@ def write_table(
     writer.save(path)
 
 
+_TABLE_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?")
+
+
+def _checked(table: str) -> str:
+    if not _TABLE_NAME.fullmatch(table):
+        raise ValueError(f"not a table name: {table!r}")
+    return table
+
+
+def jdbc_write_options(
+    url: str,
+    table: str,
+    batch_size: int = 10_000,
+    connections: int = 8,
+    truncate: bool = False,
+    column_types: str | None = None,
+) -> dict[str, str]:
+    """Options for a JDBC write: rows per round trip, and the number of connections that write at once.
+
+    truncate: an overwrite empties the table and keeps its definition, indexes and grants; else Spark drops it and
+    creates it anew. column_types: column definitions for a table that Spark creates.
+    """
+    if batch_size < 1 or connections < 1:
+        raise ValueError("batch size and connections must be positive")
+    options = {
+        "url": url,
+        "dbtable": _checked(table),
+        "batchsize": str(batch_size),
+        "numPartitions": str(connections),
+        "truncate": str(truncate).lower(),
+        "isolationLevel": "READ_COMMITTED",
+    }
+    if column_types:
+        options["createTableColumnTypes"] = column_types
+    return options
+
+
+def replace_statements(table: str, staging: str, columns: Sequence[str], truncate: bool, quote: str = '"') -> list[str]:
+    """The statements of one transaction by which the rows of `staging` take the place of those of `table`."""
+    names = ", ".join(f"{quote}{c.replace(quote, quote * 2)}{quote}" for c in columns)
+    empty = f"TRUNCATE TABLE {table}" if truncate else f"DELETE FROM {table}"
+    return [empty, f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging}"]
+
+
+@contextmanager
+def _transaction(connection: Any):
+    """A cursor whose statements are committed together, or not at all."""
+    cursor = connection.cursor()
+    try:
+        yield cursor
+        connection.commit()
+    except BaseException:
+        connection.rollback()
+        raise
+    finally:
+        cursor.close()
+
+
+def write_table_jdbc(
+    df: DataFrame,
+    url: str,
+    table: str,
+    connect: Callable[[], Any],
+    *,
+    batch_size: int = 10_000,
+    connections: int = 8,
+    truncate: bool = False,
+    quote: str = '"',
+    column_types: str | None = None,
+    properties: Mapping[str, str] | None = None,
+    save: Callable[[DataFrame, dict[str, str]], None] | None = None,
+) -> int:
+    """Replace the rows of a database table by those of df, all or nothing; returns their number.
+
+    Tasks write to a new staging table, each in its own transaction. A task that is lost after its commit runs
+    again, and its rows are there twice; so the staged rows are counted, and only if they are as many as df has do
+    they replace the table's rows, in one transaction. Readers see the old rows until it commits, and a failure
+    at any point leaves them. The staging table goes in any case.
+
+    The table must exist; it keeps its definition. connect: opens a DB-API connection to the same database.
+    truncate: empty the table by TRUNCATE, faster, but only some databases roll it back. properties: user, password,
+    driver and other options of the connection. save: writes a frame with given options; Spark's JDBC sink if None.
+    """
+    staging = f"{_checked(table)}_staging_{uuid.uuid4().hex[:16]}"
+    options = jdbc_write_options(url, staging, batch_size, connections, column_types=column_types)
+    seen = Observation()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    with closing(connect()) as connection:
+        try:
+            (save or _save_jdbc)(watched, {**options, **(properties or {})})
+            expected = seen.get["rows"]
+            with _transaction(connection) as cursor:
+                cursor.execute(f"SELECT count(*) FROM {staging}")
+                staged = cursor.fetchone()[0]
+                if staged != expected:
+                    raise RuntimeError(f"{staged} rows were staged for {table}, not {expected}; it was left as it is")
+                for statement in replace_statements(table, staging, df.columns, truncate, quote):
+                    cursor.execute(statement)
+        finally:
+            with _transaction(connection) as cursor:
+                cursor.execute(f"DROP TABLE IF EXISTS {staging}")
+    return expected
+
+
+def _save_jdbc(df: DataFrame, options: dict[str, str]) -> None:
+    df.write.format("jdbc").options(**options).mode("errorifexists").save()
+
+
+def write_parts(df: DataFrame, path: str, partition_by: Sequence[str], fmt: str = "parquet") -> None:
+    """Replace only the partitions that df has rows of; others stay as they are.
+
+    Rows are written aside and moved when all tasks have ended, so a failed write changes nothing.
+    """
+    writer = df.write.mode("overwrite").format(fmt).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).save(path)
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One (table_name, row_count) row per table; Parquet answers from its footers."""
     counts = [

@@ -6,13 +6,17 @@ from caregauge.operators import operations as ops
 from caregauge.operators.dictionary import data_dictionary
 from caregauge.sources import (
     jdbc_options,
+    jdbc_write_options,
     json_records,
     read_query,
     read_table,
+    replace_statements,
     row_counts,
     with_date_parts,
     write_csv,
+    write_parts,
     write_table,
+    write_table_jdbc,
 )
 from caregauge.sources.schemas import ADMISSIONS, TABLES
 
@@ -96,6 +100,110 @@ def test_jdbc_options():
             jdbc_options("jdbc:x:y", **wrong)
 
 
+class Connection:
+    """Records statements; stands for a database, as none may be started here."""
+
+    def __init__(self, staged=None, fail=None):
+        self.log, self.staged, self.fail = [], staged, fail
+
+    def cursor(self):
+        return self
+
+    def execute(self, sql):
+        self.log.append(sql)
+        if self.fail and sql.startswith(self.fail):
+            raise OSError("lost")
+
+    def fetchone(self):
+        return (self.staged,)
+
+    def commit(self):
+        self.log.append("COMMIT")
+
+    def rollback(self):
+        self.log.append("ROLLBACK")
+
+    def close(self):
+        self.log.append("close")
+
+
+def shape(log):
+    return [line.split(" ")[0] for line in log]
+
+
+def test_jdbc_write_options():
+    options = jdbc_write_options("jdbc:x:y", "clinic.admissions", 500, 4, truncate=True, column_types="a INT")
+    assert options["batchsize"] == "500" and options["numPartitions"] == "4" and options["truncate"] == "true"
+    assert options["dbtable"] == "clinic.admissions" and options["createTableColumnTypes"] == "a INT"
+    assert "createTableColumnTypes" not in jdbc_write_options("u", "t") and jdbc_write_options("u", "t")["truncate"] == "false"
+    for wrong in (dict(table="t; DROP TABLE u"), dict(table=""), dict(table="t", batch_size=0), dict(table="t", connections=0)):
+        with pytest.raises(ValueError):
+            jdbc_write_options("u", **wrong)
+
+
+def test_jdbc_replace_is_one_transaction_after_the_rows_are_counted(spark):
+    df = spark.range(100).selectExpr("id", "id AS `odd\"name`")
+    written, connection = [], Connection(staged=100)
+
+    def save(frame, options):
+        written.append((frame.collect(), options))
+
+    assert write_table_jdbc(df, "jdbc:x:y", "t", lambda: connection, properties={"user": "u"}, save=save) == 100
+    ((rows, options),) = written
+    staging = options["dbtable"]
+    assert len(rows) == 100 and staging.startswith("t_staging_") and options["user"] == "u" and options["batchsize"] == "10000"
+    names = '"id", "odd""name"'
+    assert [line for line in connection.log if line != "close"] == [
+        f"SELECT count(*) FROM {staging}",
+        "DELETE FROM t",
+        f"INSERT INTO t ({names}) SELECT {names} FROM {staging}",
+        "COMMIT",
+        f"DROP TABLE IF EXISTS {staging}",
+        "COMMIT",
+    ]
+    assert replace_statements("t", "s", ["a"], True, "`") == ["TRUNCATE TABLE t", "INSERT INTO t (`a`) SELECT `a` FROM s"]
+
+
+@pytest.mark.parametrize(
+    "connection, error",
+    [(Connection(staged=101), RuntimeError), (Connection(staged=100, fail="INSERT"), OSError), (Connection(staged=100, fail="DELETE"), OSError)],
+)
+def test_jdbc_failures_leave_the_table(spark, connection, error):
+    with pytest.raises(error):
+        write_table_jdbc(spark.range(100).toDF("id"), "u", "t", lambda: connection, save=lambda f, o: f.collect())
+    log = [x for x in shape(connection.log) if x != "close"]
+    assert log[-2:] == ["DROP", "COMMIT"] and "ROLLBACK" in log and "COMMIT" not in log[:-1]
+
+
+def test_jdbc_failed_write_drops_the_staging_table_only(spark):
+    connection = Connection()
+
+    def save(frame, options):
+        raise OSError("executor lost")
+
+    with pytest.raises(OSError):
+        write_table_jdbc(spark.range(3).toDF("id"), "u", "t", lambda: connection, save=save)
+    assert [x for x in shape(connection.log) if x != "close"] == ["DROP", "COMMIT"]
+
+
+def test_parts_are_replaced_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "months")
+    schema = "value int, month string"
+
+    def read():
+        return sorted(tuple(r) for r in read_table(spark, "parquet", path, schema=spark.createDataFrame([], schema).schema).collect())
+
+    write_parts(spark.createDataFrame([(1, "2021-01"), (2, "2021-02"), (3, "2021-03")], schema), path, ["month"])
+    write_parts(spark.createDataFrame([(20, "2021-02"), (40, "2021-04")], schema), path, ["month"])
+    assert read() == [(1, "2021-01"), (3, "2021-03"), (20, "2021-02"), (40, "2021-04")]
+    write_parts(spark.createDataFrame([], schema), path, ["month"])
+    before = read()
+    broken = spark.range(8).selectExpr("cast(if(id = 7, raise_error('lost'), id) as int) AS value", "'2021-01' AS month")
+    with pytest.raises(Exception, match="lost"):
+        write_parts(broken.repartition(4), path, ["month"])
+    assert read() == before
+
+
 def test_query_counts_json_dates(spark, admissions, patients):
     assert read_query(spark, "SELECT count(*) AS n FROM {a} WHERE bed_type = 'ICU'", a=admissions).first().n == 2
     counts = row_counts({"admissions": admissions, "patients": patients})
