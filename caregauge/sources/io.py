@@ -9,11 +9,12 @@ from collections.abc import Callable, Mapping, Sequence
 from contextlib import closing, contextmanager
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import month_label
+from ..session import stage
 
 
 def read_table(
@@ -186,9 +187,9 @@ def write_table_jdbc(
 ) -> int:
     """Replace the rows of a database table by those of df, all or nothing; returns their number.
 
-    Tasks write to a new staging table, each in its own transaction. A task that is lost after its commit runs
-    again, and its rows are there twice; so the staged rows are counted, and only if they are as many as df has do
-    they replace the table's rows, in one transaction. Readers see the old rows until it commits, and a failure
+    df is computed once, to files in the shared folder. Tasks write these to a new staging table, each in its own
+    transaction. A task that is lost after its commit runs again, and its rows are there twice; so the staged rows
+    are counted, and only if they are as many as the files hold do they replace the table's rows, in one transaction. Readers see the old rows until it commits, and a failure
     at any point leaves them. The staging table goes in any case.
 
     The table must exist; it keeps its definition. connect: opens a DB-API connection to the same database.
@@ -197,12 +198,11 @@ def write_table_jdbc(
     """
     staging = f"{_checked(table)}_staging_{uuid.uuid4().hex[:16]}"
     options = jdbc_write_options(url, staging, batch_size, connections, column_types=column_types)
-    seen = Observation()
-    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    rows = stage(df)
+    expected = rows.count()
     with closing(connect()) as connection:
         try:
-            (save or _save_jdbc)(watched, {**options, **(properties or {})})
-            expected = seen.get["rows"]
+            (save or _save_jdbc)(rows, {**options, **(properties or {})})
             with _transaction(connection) as cursor:
                 cursor.execute(f"SELECT count(*) FROM {staging}")
                 staged = cursor.fetchone()[0]
