@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import global_position
 from ..session import stage
+from .common import ship
 
 CAPACITY = 2048
 END = 0
@@ -50,7 +51,8 @@ class Tokens(dict):
     """Token ids of texts by a byte-level BPE; a dict from words (with a space before) to the bytes of their ids.
 
     Byte-level BPE never joins across a space that stands before a word, so a text may be cut there and its
-    words looked up one by one. A text where a space precedes white space or ends the text is encoded whole.
+    words looked up one by one. A text where a space precedes white space or ends the text, or that holds the
+    string of an added token (which is that token), is encoded whole.
     Words and the parts they are cut into are remembered, up to a bound; that changes no result.
     """
 
@@ -63,11 +65,12 @@ class Tokens(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.cut = regex.compile(_CUT).findall
         self.parts: dict[str, bytes] = {}
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added) or r"(?!)").search
         sample = "It's an Übung, (no. 12)!\n done"
         if self.of(sample) != self._whole(sample):
             raise ValueError(f"{path} is not a byte-level BPE without normalisation")
@@ -104,7 +107,7 @@ class Tokens(dict):
 
     def of(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        if _SPACE_BEFORE_SPACE.search(text):
+        if _SPACE_BEFORE_SPACE.search(text) or self.added(text):
             return self._whole(text)
         first, *words = text.split(" ")
         return self._chunk(first) + b"".join(map(self.__getitem__, words))
@@ -133,6 +136,7 @@ def token_pieces(
     text_column: str = "text",
 ) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece; tokenizer is the path of its file."""
+    ship(docs.sparkSession)
     given = docs.select(
         F.col(id_column).alias("doc_id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),

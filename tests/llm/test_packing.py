@@ -13,16 +13,21 @@ from caregauge.llm import packing
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 ODD = [
     "", " ", "  ", " a", "a ", "a  b", "a\n b", "it's we'll o'clock", "ＡＢＣ x² ½ ¼a 漢字 かな", "<|endoftext|> x", "\t\tx\r\n z",
-    "ǅ ʰx αβγ.", "a.b,c!?| |x| ñ́ ​ z", "😀 😀a", "x y  z", "don’t", " \x1c a \x1fb", "end.", "... ,,", "a. .b",
+    "ǅ ʰx αβγ.", "a.b,c!?| |x| ñ́ ​ z", "a<|endoftext|>", "<|endoftext|><|endoftext|> b  ", "<|endoftext |>", "😀 😀a", "x y  z", "don’t", " \x1c a \x1fb", "end.", "... ,,", "a. .b",
 ]
 
 
 def whole(texts):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
 
 
+def test_added_tokens_in_a_text_are_those_tokens():
+    assert list(array("I", packing.Tokens(PATH).of("<|endoftext|> x"))) == Tokenizer.from_file(PATH).encode(
+        "<|endoftext|> x", add_special_tokens=False
+    ).ids == [50256, 2124]
+
+
 def test_remembered_words_give_the_same_ids(texts):
     known = packing.Tokens(PATH)
     for t in [*ODD, *(t for t in texts if t)] * 2:
