@@ -1,14 +1,14 @@
 """Document fingerprints by invertible Bloom lookup sketches.
 
 A text is cut into paragraphs: runs of words that end where the hash of a word says so (and, where no
-word does for long, by count from the last that did, so that an edit moves no cuts beyond the next). Short texts are cut finer, so that they have about PARAGRAPHS of them;
-from PARAGRAPHS * COARSEST words on a paragraph has about COARSEST words, and their number grows with the text.
+word does for long, by count from the last that did, so that an edit moves no cuts beyond the next). Short texts
+are cut finer, so that they have about PARAGRAPHS of them; from PARAGRAPHS * COARSEST words on a paragraph has about COARSEST words, and their number grows with the text.
 The set of their digests goes into a table of cells;
 each digest is added to three of them, one in each third: a count, the digests xored, and their check hashes
 xored. Tables subtract cell by cell. What remains are the digests that only one side has, and these are peeled:
 a cell with one digest gives it away, it is taken out of its other cells, and so on until all are empty. The
 first table is chosen by an estimate of the difference from the digests of one residue. If some are left, the
-subtraction is repeated with larger tables, and beyond the last size the digest sets are subtracted directly.
+subtraction is repeated with tables of twice the size, and beyond the last the digest sets are subtracted directly.
 The likeness of two texts is the shared part of their joint digests.
 
 All of it is DataFrame functions on one row; a row holds the digests of the texts that it compares.
@@ -31,9 +31,9 @@ from ..operators.ranking import global_position
 from ..session import stage
 from .common import SPACES, WORD, text_of
 
-PARAGRAPHS = 16
+PARAGRAPHS = 24
 COARSEST = 32  # words in a paragraph of a long text, about; a power of two
-SIZES = (24, 96, 384)  # cells, in thirds
+SIZES = (24, 48, 96, 192, 384)  # cells, in thirds
 SAMPLE = 4  # one digest in so many tells how large a difference is
 ROUNDS = 12
 LONGEST = 4  # times the usual length after which a run without such words is cut
@@ -63,6 +63,11 @@ def coarseness(n_words: Column) -> Column:
 
 def paragraphs(hashes: Column, every: Column) -> Column:
     """Distinct digests of the paragraphs of hashed words."""
+    # Each argument is computed once, whatever expression it is.
+    return let(hashes, lambda words: let(every, lambda step: _cut(words, step)))
+
+
+def _cut(hashes: Column, every: Column) -> Column:
     n = F.size(hashes)
     longest = every * LONGEST
 
@@ -113,10 +118,24 @@ def _table(placed: Column, cells: int) -> Column:
     nothing = fields(n=F.lit(0), key=zero, check=zero).cast(_CELL)
 
     def third(s: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(cells // 3 - 1)),
-            lambda c: F.aggregate(F.filter(placed, lambda e: e[f"at{s}"] == c), nothing, add),
-        )
+        """Digests in the order of their cells; each cell is a run of them."""
+
+        def runs(ordered: Column) -> Column:
+            def cut(at: Column, back: Column) -> Column:
+                def cell(c: Column) -> Column:
+                    def run(begin: Column) -> Column:
+                        end = F.size(at) - F.array_position(back, c) + 1
+                        own = F.slice(ordered, begin, (end - begin + 1).cast("int"))
+                        return F.when(begin == 0, nothing).otherwise(F.aggregate(own, nothing, add))
+
+                    return let(F.array_position(at, c).cast("int"), run)
+
+                return F.transform(F.sequence(F.lit(0), F.lit(cells // 3 - 1)), cell)
+
+            return let(F.transform(ordered, lambda e: e["at"]), lambda at: let(F.reverse(at), lambda back: cut(at, back)))
+
+        own = F.transform(placed, lambda e: fields(at=e[f"at{s}"], n=e["n"], key=e["key"], check=e["check"]))
+        return let(F.sort_array(own), runs)
 
     return F.concat(third(0), third(1), third(2))
 
@@ -140,7 +159,8 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(difference: Column, cells: int) -> Column:
-    """How many digests a subtracted table holds; null if some cannot be recovered."""
+    """The digests that a subtracted table holds, as structs: n is 1 for the first side, -1 for the other, key the
+    digest. Null if some cannot be recovered."""
 
     def pure(cell: Column) -> Column:
         return (F.abs(cell["n"]) == 1) & (F.xxhash64(cell["key"], F.lit(1)) == cell["check"])
@@ -151,7 +171,7 @@ def peel(difference: Column, cells: int) -> Column:
                 _placed(found, cells), lambda placed: subtract(state["cells"], _table(placed, cells))
             )
             return F.when(F.size(found) == 0, state).otherwise(
-                fields(cells=rest, n=state["n"] + F.size(found))
+                fields(cells=rest, found=F.concat(state["found"], found))
             )
 
         recovered = F.array_distinct(
@@ -161,15 +181,21 @@ def peel(difference: Column, cells: int) -> Column:
         )
         return let(recovered, take_out)
 
-    start = fields(cells=difference, n=F.lit(0)).cast(f"struct<cells:array<{_CELL}>,n:int>")
+    found = "array<struct<n:int,key:bigint>>"
+    start = fields(cells=difference, found=F.array().cast(found)).cast(f"struct<cells:array<{_CELL}>,found:{found}>")
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
     return let(
-        done, lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0)), s["n"])
+        done, lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0)), s["found"])
     )
 
 
 def _apart(a: Column, b: Column) -> Column:
-    return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    """What `peel` gives, from the sets themselves."""
+
+    def side(x: Column, y: Column, n: int) -> Column:
+        return F.transform(F.array_except(x, y), lambda d: fields(n=F.lit(n), key=d))
+
+    return F.concat(side(a, b, 1), side(b, a, -1))
 
 
 def estimated_difference(a: Column, b: Column) -> Column:
@@ -178,13 +204,14 @@ def estimated_difference(a: Column, b: Column) -> Column:
     def sampled(digests: Column) -> Column:
         return F.filter(digests, lambda d: F.pmod(d, F.lit(SAMPLE)) == 0)
 
-    return F.greatest(_apart(sampled(a), sampled(b)) * SAMPLE, F.abs(F.size(a) - F.size(b)))
+    return F.greatest(F.size(_apart(sampled(a), sampled(b))) * SAMPLE, F.abs(F.size(a) - F.size(b)))
 
 
-def difference_size(a: Column, b: Column, sizes: Sequence[int] = SIZES) -> Column:
-    """The number of digests in one set but not in the other, by tables of growing size.
+def difference(a: Column, b: Column, sizes: Sequence[int] = SIZES) -> Column:
+    """The digests in one set but not in the other, as `peel` gives them, by tables that double until one peels.
 
-    The first has room for the estimated difference; the result does not depend on the estimate.
+    The first has room for the estimated difference; the result does not depend on the estimate. Beyond the last
+    size the sets are subtracted directly.
     """
 
     def attempt(cells: int, expected: Column) -> Column:
@@ -202,6 +229,11 @@ def difference_size(a: Column, b: Column, sizes: Sequence[int] = SIZES) -> Colum
     )
 
 
+def difference_size(a: Column, b: Column, sizes: Sequence[int] = SIZES) -> Column:
+    """The number of digests in one set but not in the other."""
+    return F.size(difference(a, b, sizes))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Shared part of the joint digests of two sets, from their sizes and that of their difference."""
     both = F.size(a) + F.size(b)

@@ -1,57 +1,13 @@
 import hashlib
 import random
-import struct
 
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from caregauge.llm import fingerprint
 from caregauge.llm.queries import document_fingerprints
 
-
-def signed(x):
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def word_hash(word):
-    return signed(xxhash.xxh64(word.encode(), seed=42).intdigest())
-
-
-def chained(values):
-    seed = 42
-    for v in values:
-        seed = xxhash.xxh64(struct.pack("<q", v), seed=seed).intdigest()
-    return signed(seed)
-
-
-def level(n):
-    every = 1
-    while n > every * fingerprint.PARAGRAPHS:
-        every *= 2
-    return every
-
-
-def words(text):
-    return [w for w in (text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if w]
-
-
-def cut(text, every):
-    """Plain version of the paragraphs' digests."""
-    found, run = set(), []
-    hashes = [word_hash(w) for w in words(text)]
-    for i, h in enumerate(hashes, 1):
-        run.append(h)
-        if h % every == 0 or i % (every * fingerprint.LONGEST) == 0 or i == len(hashes):
-            found.add(chained(run))
-            run = []
-    return found
-
-
-def alike(a, b):
-    every = max(level(len(words(a))), level(len(words(b))))
-    x, y = cut(a, every), cut(b, every)
-    return len(x & y) / len(x | y) if x | y else 1.0
+from .plain_fingerprint import alike, cut, signed
 
 
 def test_query_equals_plain_version(spark, docs, rows, tmp_path):
@@ -85,11 +41,18 @@ def test_peeling_recovers_the_difference(spark, differ):
     both = F.col("a"), F.col("b")
     row = df.select(
         fingerprint.difference_size(*both).alias("n"),
+        fingerprint.difference(*both).alias("digests"),
         fingerprint.likeness(*both).alias("alike"),
         fingerprint.peel(fingerprint.subtract(fingerprint.sketch(both[0], 96), fingerprint.sketch(both[1], 96)), 96).alias("at_96"),
     ).first()
     assert row.n == differ and row.alike == pytest.approx(400 / (400 + differ))
-    assert row.at_96 == (differ if differ <= 12 else row.at_96) and (differ < 300 or row.at_96 is None)
+    # 1 stands for the first set, -1 for the second.
+    apart = sorted([(1, v) for v in set(a) - set(b)] + [(-1, v) for v in set(b) - set(a)])
+    assert sorted(map(tuple, row.digests)) == apart
+    if differ <= 12:
+        assert sorted(map(tuple, row.at_96)) == apart
+    elif differ >= 300:
+        assert row.at_96 is None
 
 
 def test_nothing_and_one(spark, nothing, nulls, tmp_path):
@@ -101,3 +64,11 @@ def test_nothing_and_one(spark, nothing, nulls, tmp_path):
     spark.createDataFrame([(5, "one two three")], "doc_id long, text string").write.parquet(f"{tmp_path}/one/documents.parquet")
     row = document_fingerprints(spark, f"{tmp_path}/one").first()
     assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(b"one two tone ").hexdigest()
+
+
+def test_paragraphs_of_an_unnamed_argument(spark):
+    """Words are hashed once, however often the rule looks at them."""
+    texts = [" ".join(f"w{i * j}" for i in range(600)) for j in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = df.select("text", fingerprint.paragraphs(fingerprint.word_hashes(F.col("text")), F.lit(32).cast("long")).alias("p"))
+    assert all(set(r.p) == cut(r.text, 32) for r in found.collect())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caregauge.llm import fingerprint
 from caregauge.llm.queries import document_fingerprints
 
-from .test_fingerprint import chained, word_hash, words
+from .plain_fingerprint import alike, word_hash
 
 
 def pairs_of(spark, pairs):
@@ -52,31 +52,6 @@ def test_the_estimate_starts_the_tables(spark, differ):
     assert row.n == differ and differ <= row.about <= 2 * differ + 20
 
 
-def level(n):
-    every = 1
-    while n > every * 16 and every < 32:
-        every *= 2
-    return every
-
-
-def cut(text, every):
-    """Plain version: a run ends at a cutting word, at 4 * every words, or at the end."""
-    found, run = set(), []
-    hashes = [word_hash(w) for w in words(text)]
-    for i, h in enumerate(hashes, 1):
-        run.append(h)
-        if h % every == 0 or len(run) == 4 * every or i == len(hashes):
-            found.add(chained(run))
-            run = []
-    return found
-
-
-def alike(a, b):
-    every = max(level(len(words(a))), level(len(words(b))))
-    x, y = cut(a, every), cut(b, every)
-    return len(x & y) / len(x | y) if x | y else 1.0
-
-
 def test_query_follows_the_rule(spark, docs, rows, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     found = document_fingerprints(spark, str(tmp_path)).collect()
