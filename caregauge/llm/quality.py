@@ -5,7 +5,7 @@ response in a chunk is kept, and the mean, least and largest of these over the c
 length, go through a small dense layer to one probability.
 
 The network is fitted on the driver on at most `sample` labelled rows, the ones with the smallest hash of
-their id; scoring is a map over all rows that holds a bounded slab of chunks at a time.
+their id, of at most `sample_bytes` in all; scoring is a map over all rows that holds a bounded slab of chunks at a time.
 
 Defined results: a null text counts as empty, and an empty text is scored like any other; equal texts get
 equal scores; labelled rows with a null label are not used; without any labelled row every score is 0.5; an
@@ -14,6 +14,8 @@ empty table gives an empty result. Other columns pass through whatever their nam
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+from .common import ship
+
 SAMPLE = 3000
+SAMPLE_BYTES = 64 << 20
 CHUNK = 512
 STRIDE = 448
 WIDTH = 5
@@ -167,11 +173,28 @@ def train(
     label_column: str = "quality",
     id_column: str = "doc_id",
     sample: int = SAMPLE,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> Network | None:
-    """A network fitted on the texts of at most `sample` labelled ids; None if there are none.
+    """A network fitted on the texts of `training_rows`; None if there are none."""
+    rows = training_rows(docs, labels, text_column, label_column, id_column, sample, sample_bytes)
+    return fit([t for t, _ in rows], np.array([y for _, y in rows])) if rows else None
+
+
+def training_rows(
+    docs: DataFrame,
+    labels: DataFrame,
+    text_column: str = "text",
+    label_column: str = "quality",
+    id_column: str = "doc_id",
+    sample: int = SAMPLE,
+    sample_bytes: int = SAMPLE_BYTES,
+) -> list[tuple[bytes, float]]:
+    """(text, label) of at most `sample` labelled ids, of at most `sample_bytes` together, in a fixed order.
 
-    The ids are chosen from the labels alone, so at most `sample` rows are broadcast, and no text is shuffled.
+    The ids are chosen from the labels alone, so at most `sample` rows are broadcast, and no text is shuffled. Sizes
+    reach the driver before texts do; in the order of a hash, a text that no longer fits is left out.
     """
+    ship(docs.sparkSession)
     chosen = (
         labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
         .select(
@@ -186,11 +209,27 @@ def train(
         F.col(id_column).alias("_id"),
         F.encode(F.coalesce(F.col(text_column).cast("string"), F.lit("")), "UTF-8").alias("text"),
     )
-    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("id")).select("place", "id", "label", "text").collect()
-    if not rows:
-        return None
-    rows.sort(key=tuple)  # the order in which tasks answer must not matter
-    return fit([bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows]))
+    met = stage(texts.join(F.broadcast(chosen), F.col("_id") == F.col("id")).select("place", "id", "label", "text"))
+    room, most = sample_bytes, 0
+    sizes = met.select("place", "id", "label", F.octet_length("text").alias("size"), F.md5("text").alias("digest")).collect()
+    fitting = []
+    for row in sorted(sizes, key=tuple):  # the order in which tasks answer must not matter
+        if row["size"] <= room:
+            room -= row["size"]
+            most = max(most, row["size"])
+            fitting.append(tuple(row))
+    if not fitting:
+        return []
+    wanted = Counter(fitting)
+    rows = []
+    for r in met.where(F.octet_length("text") <= most).toLocalIterator():
+        text = bytes(r["text"])
+        key = (r["place"], r["id"], r["label"], len(text), hashlib.md5(text).hexdigest())
+        if wanted[key]:
+            wanted[key] -= 1
+            rows.append((key[:3], text))
+    rows.sort()
+    return [(text, key[2]) for key, text in rows]
 
 
 def quality_of(text: Column, network: Network | None) -> Column:

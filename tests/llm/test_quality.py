@@ -34,7 +34,7 @@ def test_gradients_agree_with_differences():
         return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
 
     found = quality._gradients(net, texts, sizes, labels)
-    for name in ("dense", "out", "dense_bias", "out_bias"):
+    for name in ("filters", "bias", "dense", "out", "dense_bias", "out_bias"):
         at = np.unravel_index(np.abs(found[name]).argmax(), found[name].shape)
         before = net.params[name][at]
         values = []
@@ -45,6 +45,38 @@ def test_gradients_agree_with_differences():
         assert (values[0] - values[1]) / 2e-3 == pytest.approx(found[name][at], rel=0.05)
 
 
+def test_scores_equal_a_plain_forward_pass():
+    """Every response of every filter at every place, by loops."""
+    rng = np.random.default_rng(4)
+    net = quality.Network(5)
+    net.params["bias"] = rng.normal(0, 0.2, quality.FILTERS).astype(np.float32)
+    net.params["dense_bias"] = rng.normal(0, 0.2, quality.HIDDEN).astype(np.float32)
+    p = {k: v.astype(float) for k, v in net.params.items()}
+    texts = [b"", b"a", bytes(rng.integers(32, 127, 40).astype(np.uint8)), bytes(rng.integers(0, 256, 700).astype(np.uint8))]
+    for text, score in zip(texts, net.score(texts), strict=True):
+        starts = sorted({*range(0, max(len(text) - quality.CHUNK, 0), quality.STRIDE), max(len(text) - quality.CHUNK, 0)})
+        pooled = []
+        for start in starts:
+            largest = [-np.inf] * quality.FILTERS
+            for at in range(start, start + quality.CHUNK):
+                # Beyond the text there is only padding, which no filter responds to.
+                own = sum((p["filters"][k, text[at + k]] if at + k < len(text) else p["filters"][k, 256] for k in range(quality.WIDTH)))
+                largest = np.maximum(largest, own)
+            pooled.append(np.maximum(largest + p["bias"], 0))
+        pooled = np.array(pooled)
+        features = [*pooled.mean(0), *pooled.min(0), *pooled.max(0), np.log2(len(text) + 1) / 10]
+        hidden = np.tanh(np.array(features) @ p["dense"] + p["dense_bias"])
+        assert score == pytest.approx(1 / (1 + np.exp(-(hidden @ p["out"] + p["out_bias"][0]))), abs=1e-5)
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    texts = spark.createDataFrame([(i, "x" * (100 if i % 2 else 5000)) for i in range(60)], "doc_id long, text string")
+    labels = texts.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    rows = quality.training_rows(texts, labels, sample=50, sample_bytes=20_000)
+    assert 0 < sum(len(t) for t, _ in rows) <= 20_000 and len(rows) <= 50
+    assert len(quality.training_rows(texts, labels, sample=50, sample_bytes=10**9)) == 50
+
+
 def test_learns_and_scores_every_row(spark, docs, nothing, nulls):
     good = [(i, f"the quick brown fox {i} jumps over lazy dogs number {i * 7}") for i in range(120)]
     bad = [(1000 + i, f"BUY!! NOW!! {i} CHEAP!! BUY!! NOW!!") for i in range(120)]
