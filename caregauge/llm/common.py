@@ -36,6 +36,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def whole_rows(docs: DataFrame, name: str = "row") -> Column:
+    """A row of docs as one struct. Beside it an operator may name its columns as it likes; f"{name}.*" gives all back."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias(name)
+
+
 def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     """Null-safe equality of the named columns."""
     return reduce(Column.__and__, (left[c].eqNullSafe(right[c]) for c in columns))

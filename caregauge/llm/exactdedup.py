@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import SPACES, same, text_of
+from .common import SPACES, same, text_of, whole_rows
 
 PREFIX = 64
 BUCKETS = 1 << 18
@@ -115,22 +115,21 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         .unionByName(alone.select(*KEYS, F.lit(None).cast("string").alias("text_sha256")))
         .select(*(F.col(c).alias(f"_dd{c}") for c in [*KEYS, "text_sha256"]))
     )
-    mine = docs.withColumn("_dd_norm", normalised(text_column)).withColumns(
+    given = docs.select(whole_rows(docs), F.col(id_column).alias("_dd_id"), normalised(text_column).alias("_dd_norm"))
+    mine = given.withColumns(
         {"_dd_my_len": F.length("_dd_norm"), "_dd_my_prefix": F.xxhash64(F.substring("_dd_norm", 1, PREFIX))}
     )
     match = (
-        mine[id_column].eqNullSafe(F.col("_dddoc_id"))
+        F.col("_dd_id").eqNullSafe(F.col("_dddoc_id"))
         & (F.col("_dd_my_len") == F.col("_dd_len"))
         & (F.col("_dd_my_prefix") == F.col("_dd_prefix"))
         & (F.col("_ddtext_sha256").isNull() | (F.sha2("_dd_norm", 256) == F.col("_ddtext_sha256")))
     )
     # Rows of one id and text: the first by a hash of all columns stays.
-    repeats = W.partitionBy("_dddoc_id", "_dd_len", "_dd_prefix", "_ddtext_sha256").orderBy(
-        F.xxhash64(*docs.columns)
-    )
+    repeats = W.partitionBy("_dddoc_id", "_dd_len", "_dd_prefix", "_ddtext_sha256").orderBy(F.xxhash64("row"))
     return (
         mine.join(staying, match)
         .withColumn("_dd_no", F.row_number().over(repeats))
         .where("_dd_no = 1")
-        .select(*docs.columns)
+        .select("row.*")
     )

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, ship, whole_rows
 
 PROFILE = 400
 SIZES = (1, 2, 3)
@@ -110,6 +110,7 @@ def learn_profiles(
     training: DataFrame, text_column: str = "text", lang_column: str = "lang", length: int = PROFILE
 ) -> Profiles:
     """Profiles from all rows of `training` with a text and a language."""
+    ship(training.sparkSession)
     given = training.select(
         F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang")
     ).where("text is not null and lang is not null")
@@ -151,9 +152,6 @@ def identify(
 
 def accepted(docs: DataFrame, profiles: Profiles, text_column: str = "text") -> DataFrame:
     """The rows of docs in a language that was learned, with all their columns."""
-    found = language_of(F.col(text_column).cast("string"), profiles)
-    return (
-        docs.withColumn("_lang_found", found)
-        .where(F.col("_lang_found.lang_pred") != UNKNOWN)
-        .select(*docs.columns)
-    )
+    given = docs.select(whole_rows(docs), F.col(text_column).cast("string").alias("text"))
+    found = given.select("row", language_of(F.col("text"), profiles).alias("found"))
+    return found.where(F.col("found.lang_pred") != UNKNOWN).select("row.*")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import global_position
 from ..session import stage
-from .common import WORD, text_of
+from .common import WORD, text_of, whole_rows
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -148,9 +148,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .withColumn("_mix_no", F.row_number().over(alike.orderBy("copies")))
         .select(*(F.col(c).alias(f"{c}_of") for c in [*keys, "_mix_no"]), F.col("copies").alias("_mix_copies"))
     )
-    keyed = docs.withColumns(keys).withColumn(
-        "_mix_no", F.row_number().over(alike.orderBy(F.xxhash64(*docs.columns)))
-    )
+    given = docs.select(whole_rows(docs), *(value.alias(name) for name, value in keys.items()))
+    keyed = given.withColumn("_mix_no", F.row_number().over(alike.orderBy(F.xxhash64("row"))))
     together = keyed.join(
         taken.where(F.col("_mix_copies") > 0),
         (keyed["_mix_id"].eqNullSafe(taken["_mix_id_of"]))
@@ -159,4 +158,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         & (keyed["_mix_no"] == taken["_mix_no_of"]),
     )
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))
-    return together.select(*docs.columns, copies.alias("_mix_copy")).drop("_mix_copy")
+    return together.select("row", copies.alias("_mix_copy")).select("row.*")

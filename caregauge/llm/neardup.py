@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import SPACES, by_bytes, text_of
+from .common import SPACES, by_bytes, ship, text_of, whole_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -161,6 +161,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def signed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, digest of the words, and signature (null without words) of every row."""
+    ship(docs.sparkSession)
     given = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,9 +389,11 @@ def one_of_each_class(docs: DataFrame, id_column: str = "doc_id", text_column: s
     # Id and digest as one value that is never null, so that the join and the numbering need one shuffle.
     key = F.struct(F.col("_nd_id").isNull(), F.coalesce(F.col("_nd_id").cast("string"), F.lit("")), "_nd_digest").alias("_nd_key")
     staying = chosen.unionByName(empty).select(key)
-    mine = docs.withColumns({"_nd_id": F.col(id_column), "_nd_digest": _digest(text_of(text_column))})
+    mine = docs.select(
+        whole_rows(docs), F.col(id_column).alias("_nd_id"), _digest(text_of(text_column)).alias("_nd_digest")
+    )
     alone = F.col("_nd_id").isNull() & (F.col("_nd_digest") == F.unhex(F.md5(F.lit(""))))
-    mine = mine.select(*docs.columns, key, F.when(alone, F.monotonically_increasing_id()).alias("_nd_own"))
-    numbered = W.partitionBy("_nd_key", "_nd_own").orderBy(F.xxhash64(*docs.columns))
+    mine = mine.select("row", key, F.when(alone, F.monotonically_increasing_id()).alias("_nd_own"))
+    numbered = W.partitionBy("_nd_key", "_nd_own").orderBy(F.xxhash64("row"))
     found = mine.join(staying, "_nd_key").withColumn("_nd_no", F.row_number().over(numbered))
-    return found.where("_nd_no = 1").select(*docs.columns)
+    return found.where("_nd_no = 1").select("row.*")

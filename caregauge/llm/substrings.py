@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import by_bytes, same, text_of
+from .common import by_bytes, same, ship, text_of
 from .neardup import _BASE, _U, _mix, _tables
 
 WINDOW = 50
@@ -390,6 +390,7 @@ def cut_texts(
 
     Texts are shuffled only if their hash has the flag of a document with repeats; there are at most FLAGS.
     """
+    ship(docs.sparkSession)
     keyed = _keyed(docs, id_column, text_column)
     windows = stage(repeated_windows(keyed, buckets))
     flags = windows.select(_flag(windows).alias("flag")).distinct()

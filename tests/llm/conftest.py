@@ -8,7 +8,11 @@ import pytest
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 # Names that operators might use inside; they must neither disturb nor be disturbed.
-EXTRA = ("size", "target", "copies", "taken", "node", "label", "band", "key", "bucket", "windows", "length", "score")
+EXTRA = (
+    "size", "target", "copies", "taken", "node", "label", "band", "key", "bucket", "windows", "length", "score", "row",
+    "found", "_mix_id", "_mix_copies", "_mix_no", "_dd_no", "_dd_norm", "_dd_id", "_nd_id", "_nd_key", "_nd_digest",
+    "_lang_found", "a.b", "b`c", "digest", "signature",
+)
 
 
 def words(rng, n):
@@ -37,7 +41,7 @@ def docs(spark, texts):
     rows = [(i, t, sources[i % 5] if i % 3 else "a", "en", *EXTRA) for i, t in enumerate(texts)]
     rows += [(1, texts[1], "a", "en", *EXTRA), (None, "no id here at all, is there", None, None, *EXTRA)]
     rows += [(None, texts[2], "c", None, *EXTRA)]
-    columns = "doc_id long, text string, source string, lang string, " + ", ".join(f"`{c}` string" for c in EXTRA)
+    columns = "doc_id long, text string, source string, lang string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in EXTRA)
     return spark.createDataFrame(rows, columns).repartition(5)
 
 

@@ -1,9 +1,13 @@
 import hashlib
 import math
+import pathlib
 import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pytest
+
+from caregauge.session import staging
 
 from .conftest import EXTRA
 from .test_exactdedup import norm
@@ -13,7 +17,7 @@ from .test_packing import whole
 
 
 def write(spark, folder, rows):
-    columns = "doc_id long, text string, source string, lang string, " + ", ".join(f"`{c}` string" for c in EXTRA)
+    columns = "doc_id long, text string, source string, lang string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in EXTRA)
     spark.createDataFrame(rows, columns).write.parquet(f"{folder}/documents.parquet")
 
 
@@ -57,6 +61,8 @@ def test_every_stage_equals_its_plain_version(spark, texts, tmp_path):
             assert pieces == wanted
             break
         assert out.columns == docs.columns
+        # Each extra column holds its own name in every row, whatever the stage calls its own columns.
+        assert all(tuple(r)[4:] == EXTRA for r in out.collect())
         after = [(r.doc_id, r.text, r.source) for r in out.collect()]
         if name == "language_id":
             assert sorted(map(str, after)) == sorted(str(r) for r in before if any(c.isalpha() for c in r[1] or ""))
@@ -76,6 +82,40 @@ def test_every_stage_equals_its_plain_version(spark, texts, tmp_path):
     assert again == pieces
 
 
+def test_finished_stages_are_not_run_again(spark, texts, tmp_path, monkeypatch):
+    write(spark, tmp_path, [(i, t, "a", "en", *EXTRA) for i, t in enumerate(texts)])
+    ran = []
+
+    def watched(name, stage, broken=()):
+        def run(*args):
+            ran.append(name)
+            if name in broken:
+                raise OSError("driver lost")
+            return stage(*args)
+
+        return name, run
+
+    stages = corpus_pipeline.STAGES
+    names = [name for name, _ in stages]
+    folder = f"{tmp_path}/run"
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*s, broken=("mix_sources",)) for s in stages])
+    with pytest.raises(OSError):
+        corpus_pipeline.run(spark, str(tmp_path), folder)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*s) for s in stages])
+    once = sorted(map(repr, corpus_pipeline.run(spark, str(tmp_path), folder).collect()))
+    assert ran == [*names[:4], *names[3:]]
+    assert sorted(map(repr, corpus_pipeline.run(spark, str(tmp_path), folder).collect())) == once and len(ran) == 6
+
+
+def test_copies_go_with_the_staging_block(spark, texts, tmp_path):
+    write(spark, tmp_path, [(i, t, "a", "en", *EXTRA) for i, t in enumerate(texts[:9])])
+    with staging(spark):
+        (file,) = {f.rsplit("/", 2)[0] for f in corpus_pipeline.run(spark, str(tmp_path)).inputFiles()}
+        folder = pathlib.Path(file.removeprefix("file:"))
+        assert folder.exists()
+    assert not folder.exists()
+
+
 def test_nothing(spark, tmp_path):
     write(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
