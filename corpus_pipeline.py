@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of docs.
 
-1. language ID: documents without a recognised language go.
+1. language ID: documents without a recognised language go. Languages are learned from the documents that name one;
+   where none does, nothing is recognised and all documents go.
 2. exact dedup: of equal texts (white space aside) the row with the smallest id stays.
 3. near dedup: of texts with a similarity of 0.8 or more the row with the smallest id stays.
 4. mixing: rows repeat, or drop out, so that each source comes near its target share of words.
@@ -11,19 +12,20 @@ A stage takes (spark, docs, sf_dir) and returns a frame; all but the last return
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from caregauge.llm import exactdedup, language, mixing, neardup, packing
-from caregauge.llm.common import ship
 from caregauge.llm.queries import default_tokenizer
-from caregauge.session import shared_folder
+from caregauge.session import scratch_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     return language.accepted(docs, language.learn_profiles(docs))
 
 
@@ -32,7 +34,6 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     return neardup.one_of_each_class(docs)
 
 
@@ -41,7 +42,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     return packing.pack(packing.token_pieces(docs, default_tokenizer()))
 
 
@@ -57,13 +57,32 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the table of documents."""
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid4().hex}"
+def _finished(spark: SparkSession, path: str) -> StructType | None:
+    """The schema of a stage's rows if it has ended, as its note beside them says."""
+    try:
+        return StructType.fromJson(json.loads(spark.read.text(f"{path}.ended").first()["value"]))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages in order over the table of documents.
+
+    folder: keeps what the stages write; a run that names the same one again starts after the last stage that had
+    ended. Without it the copies are staged tables, and go with the `staging` block, if any.
+    """
+    folder = folder or f"{scratch_folder(spark)}/pipeline-{uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES, 1):
         path = f"{folder}/{number}-{name}"
-        found = stage(spark, docs, sf_dir)
-        found.write.parquet(path)
-        docs = spark.read.schema(found.schema).parquet(path)
+        schema = _finished(spark, path)
+        if schema is None:
+            found = stage(spark, docs, sf_dir)
+            found.write.mode("overwrite").parquet(path)
+            schema = found.schema
+            note = spark.createDataFrame([(schema.json(),)], "value string")
+            note.coalesce(1).write.mode("overwrite").text(f"{path}.ended")
+        docs = spark.read.schema(schema).parquet(path)
     return docs
