@@ -25,6 +25,13 @@ EAGER = {
     "confusion_matrix_totals",
     "expected_probability_check",
     "segment_patients_check",
+    "monthly_rollup_reload",
+    "model_auc_check",
+    "risk_model_cv_auc_check",
+    "risk_model_optimality",
+    # A walk over 16 trees is numpy in tasks.
+    "forest_scores_of_given",
+    "confusion_matrix_of_given_forest",
 }
 LAZY = [
     name
