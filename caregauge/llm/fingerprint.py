@@ -158,6 +158,30 @@ def subtract(a: Column, b: Column) -> Column:
     )
 
 
+def _without(table: Column, placed: Column, third: int) -> Column:
+    """A table less some digests; only the cells that these are in are computed."""
+
+    def within(e: Column, i: Column) -> Column:
+        return (e["at0"] == i) | (e["at1"] + third == i) | (e["at2"] + 2 * third == i)
+
+    def less(cell: Column, e: Column) -> Column:
+        return fields(
+            n=cell["n"] - e["n"],
+            key=cell["key"].bitwiseXOR(e["key"]),
+            check=cell["check"].bitwiseXOR(e["check"]),
+        )
+
+    def cell_less(touched: Column) -> Column:
+        def one(cell: Column, i: Column) -> Column:
+            left = F.aggregate(F.filter(placed, lambda e: within(e, i)), cell, less)
+            return F.when(F.array_contains(touched, i), left).otherwise(cell)
+
+        return F.transform(table, one)
+
+    places = F.flatten(F.transform(placed, lambda e: F.array(e["at0"], e["at1"] + third, e["at2"] + 2 * third)))
+    return let(places, cell_less)
+
+
 def peel(difference: Column, cells: int) -> Column:
     """The digests that a subtracted table holds, as structs: n is 1 for the first side, -1 for the other, key the
     digest. Null if some cannot be recovered."""
@@ -167,9 +191,7 @@ def peel(difference: Column, cells: int) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         def take_out(found: Column) -> Column:
-            rest = let(
-                _placed(found, cells), lambda placed: subtract(state["cells"], _table(placed, cells))
-            )
+            rest = let(_placed(found, cells), lambda placed: _without(state["cells"], placed, cells // 3))
             return F.when(F.size(found) == 0, state).otherwise(
                 fields(cells=rest, found=F.concat(state["found"], found))
             )
