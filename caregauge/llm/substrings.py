@@ -12,7 +12,13 @@ smallest document's windows are repeated. Where documents share a gram but not t
 are sent for, and windows go through the remaining passes, eight bytes at a time.
 
 Before anything is shuffled, records alike in both digits are thinned within a batch to those of the smallest
-document. Records are packed by bucket of the gram, so that the shuffle moves few large rows.
+document. Records are packed by bucket of the gram, so that the shuffle moves few large rows. The number of buckets
+and of tasks follows from the bytes of all texts.
+
+A gram at the edge of a passage that very many documents hold has a record of its own in each of them. Where CROWD
+documents of a batch share such a gram, their records do not meet in its bucket: a mark takes their place there, and
+their windows are dealt out one by one, by their bytes. So are those that other batches sent to the bucket, and those
+of a gram with CROWDED records there. Of equal windows a batch sends on the smallest document's.
 
 Defined results: a null text counts as empty; texts below WINDOW bytes keep all bytes; rows with equal ids
 count as one document and each is cut by its own text; a row without an id comes after all others, covers
@@ -42,7 +48,13 @@ _GRAMS = WINDOW - GRAM + 1  # in a window
 _LONGEST = WINDOW + _GRAMS - 1  # bytes that the windows of one anchor cover
 _RUN_BYTES = 1_000_000
 _BATCH_BYTES = 8_000_000
-_BUCKETS = 2  # for each shuffle partition
+_BUCKETS = 8  # for each shuffle partition, at least
+_BUCKET_BYTES = 16_000_000  # of text
+_TASK_BYTES = 64_000_000  # of text
+CROWD = 64
+CROWDED = 1 << 16
+_CROWD = _U(1 << 63)  # stands for the gram of a record whose windows are dealt out one by one
+_CROWD_RECORDS = 20_000  # at once
 _LAST = np.iinfo(np.int64).max  # stands for a missing id
 _KEYS = ["doc_id", "mark"]
 
@@ -156,8 +168,20 @@ def _by_document(ids, marks, at, count, extra=None) -> pd.DataFrame:
     return pd.DataFrame(frame)
 
 
+def _crowded(gram: np.ndarray, ids: np.ndarray, crowd: int) -> np.ndarray:
+    """Grams that `crowd` documents or more have records of."""
+    grams, group, sizes = np.unique(gram, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero((sizes >= crowd)[group])
+    rows = rows[np.lexsort((ids[rows], group[rows]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (group[rows][1:] != group[rows][:-1]) | (ids[rows][1:] != ids[rows][:-1])
+    return grams[np.bincount(group[rows[new]], minlength=len(grams)) >= crowd]
+
+
 def _records(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Maps documents to packed records by bucket; those known to be repeated go to buckets below 0."""
+    """Maps documents to packed records by bucket; those known to be repeated go to odd buckets below 0, those of
+    crowded grams to even ones, and a record of no windows to the bucket of such a gram.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -185,7 +209,15 @@ def _records(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
         least[order] = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         again = ids > least
         bucket = (gram % _U(buckets)).astype(np.int64)
-        bucket[again] = -1 - (ids[again] % buckets)
+        bucket[again] = -1 - 2 * (ids[again] % buckets)
+        crowded = _crowded(gram[~again], ids[~again], CROWD)
+        apart = ~again & np.isin(gram, crowded)
+        bucket[apart] = -2 - 2 * (ids[apart] % buckets)
+        none = np.zeros(len(crowded), np.int64)
+        bucket = np.append(bucket, (crowded % _U(buckets)).astype(np.int64))
+        ids, marks = np.append(ids, none + _LAST), np.append(marks, none.astype(np.int32))
+        at, count = np.append(at, none.astype(at.dtype)), np.append(count, none.astype(count.dtype))
+        gram, whole = np.append(gram, crowded), np.append(whole, none.astype(_U))
         shown = gram // _U(buckets)  # with the bucket it gives the gram back, up to 40 bits
         order = np.lexsort((at, marks, ids, bucket))
         cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=bucket[order][:1] - 1)), len(order))
@@ -198,12 +230,16 @@ def _records(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     return run
 
 
-def _first_pass(frame: pd.DataFrame) -> pd.DataFrame:
+def _first_pass(frame: pd.DataFrame, most: int = CROWDED) -> pd.DataFrame:
     """Of a bucket's records: windows that are repeated, and windows to look at byte by byte (with grams)."""
     ids, marks, at, count, gram, whole = (np.concatenate(c) for c in zip(*map(_unpack, frame["records"]), strict=True))
-    if frame["bucket"].iat[0] < 0:
+    bucket = int(frame["bucket"].iat[0])
+    if bucket < 0 and bucket % 2:
         return _by_document(ids, marks, at, count, None).assign(grams=None)
-    order = np.lexsort((ids, whole, gram))
+    if bucket < 0:
+        return _by_document(ids, marks, at, count, np.full(len(ids), _CROWD))
+    crowded, order = gram[count == 0], np.flatnonzero(count)
+    order = order[np.lexsort((ids[order], whole[order], gram[order]))]
     ids, marks, at, count, gram, whole = (c[order] for c in (ids, marks, at, count, gram, whole))
     new_gram = np.ones(len(ids), bool)
     new_gram[1:] = gram[1:] != gram[:-1]
@@ -217,15 +253,48 @@ def _first_pass(frame: pd.DataFrame) -> pd.DataFrame:
     asking = ~repeated & (ids > least_of_gram)
     asked = np.zeros(len(starts), bool)
     asked[group[asking]] = True
+    marked = np.isin(gram[starts], crowded)
     # What a later document asks about may be in any differing record of the gram.
-    looked_at = ~repeated & asked[group] & (ids < _LAST) | asking
+    looked_at = ~repeated & (asked[group] & (ids < _LAST) | marked[group]) | asking
     done = _by_document(ids[repeated], marks[repeated], at[repeated], count[repeated]).assign(grams=None)
-    bucket = int(frame["bucket"].iat[0])
-    names = (gram[looked_at] * _U(1 << 20) + _U(bucket & 0xFFFFF)).astype(_U)
+    many = (marked | (np.diff(np.append(starts, len(ids))) >= most))[group]
+    names = np.where(many, _CROWD, gram * _U(1 << 20) + _U(bucket & 0xFFFFF)).astype(_U)[looked_at]
     open_ = _by_document(ids[looked_at], marks[looked_at], at[looked_at], count[looked_at], names)
     return pd.concat([done, open_])
 
 
+def _windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of records: its record and its place there."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _one_by_one(table: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of records as records of their own, and their buckets: by their bytes, or below 0 where a smaller
+    document here has the window too.
+    """
+    head = np.ascontiguousarray(table[:, :40]).view(np.int64).reshape(-1, 5)
+    owner, shift = _windows(head[:, 3])
+    wide = np.zeros((len(owner), 8 * -(-WINDOW // 8)), np.uint8)
+    wide[:, :WINDOW] = table[owner[:, None], 40 + shift[:, None] + np.arange(WINDOW)]
+    digits = wide.view(_U)
+    name = np.zeros(len(owner), _U)
+    for digit in digits.T:
+        name = _mix(name * _BASE + digit)
+    ids = head[owner, 0]
+    order = np.lexsort((ids, *digits.T, name))
+    new = np.ones(len(order), bool)
+    new[1:] = (digits[order][1:] != digits[order][:-1]).any(1)
+    least = np.empty(len(order), np.int64)
+    least[order] = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    again = ids > least
+    out = np.zeros((len(owner), 40 + _LONGEST), np.uint8)
+    own = np.stack([ids, head[owner, 1], head[owner, 2] + shift, np.ones(len(owner), np.int64), name.view(np.int64)], 1)
+    out[:, :40] = own.view(np.uint8).reshape(-1, 40)
+    out[~again, 40 : 40 + WINDOW] = wide[~again, :WINDOW]
+    return out, np.where(again, -1 - ids % buckets, (name % _U(buckets)).astype(np.int64))
+
+
 def _segments(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Maps documents with windows to look at to the bytes under them, packed by bucket of the gram."""
 
@@ -233,9 +302,15 @@ def _segments(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
         for batch in batches:
             rows = list(zip(batch["doc_id"], batch["mark"], batch["packed"], batch["windows"], batch["grams"], strict=True))
             for part in by_bytes(rows, lambda r: sum(map(len, r[3])) * 6, _BATCH_BYTES):
-                yield packed(part)
-
-    def packed(rows: list) -> pd.DataFrame:
+                table = table_of(part)
+                names = np.ascontiguousarray(table[:, 32:40]).view(_U).reshape(-1)
+                plain = names != _CROWD
+                yield packed(table[plain], (_mix(names[plain]) % _U(buckets)).astype(np.int64))
+                crowd = table[~plain]
+                for a in range(0, len(crowd), _CROWD_RECORDS):
+                    yield packed(*_one_by_one(crowd[a : a + _CROWD_RECORDS], buckets))
+
+    def table_of(rows: list) -> np.ndarray:
         parts = []
         for doc_id, mark, data, windows, grams in rows:
             text = np.frombuffer(zlib.decompress(data) + bytes(_LONGEST), np.uint8)
@@ -244,11 +319,11 @@ def _segments(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
             head = np.empty((len(pairs), 5), np.int64)
             head[:, 0], head[:, 1], head[:, 2:4], head[:, 4] = doc_id, mark, pairs, names.view(np.int64)
             parts.append(np.hstack([head.view(np.uint8).reshape(len(pairs), 40), text[pairs[:, :1] + np.arange(_LONGEST)]]))
-        table = np.concatenate(parts)
-        names = np.ascontiguousarray(table[:, 32:40]).view(_U).reshape(-1)
-        bucket = (_mix(names) % _U(buckets)).astype(np.int64)
+        return np.concatenate(parts)
+
+    def packed(table: np.ndarray, bucket: np.ndarray) -> pd.DataFrame:
         order = np.argsort(bucket, kind="stable")
-        cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+        cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=bucket[order][:1] - 1)), len(order))
         return pd.DataFrame(
             [(int(bucket[order[a]]), table[order[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
             columns=["bucket", "segments"],
@@ -287,9 +362,9 @@ def _last_passes(frame: pd.DataFrame) -> pd.DataFrame:
     """Windows of a bucket's segments that a smaller document has too."""
     table = np.frombuffer(b"".join(frame["segments"]), np.uint8).reshape(-1, 40 + _LONGEST)
     head = np.ascontiguousarray(table[:, :40]).view(np.int64).reshape(-1, 5)
-    count = head[:, 3]
-    owner = np.repeat(np.arange(len(head)), count)
-    shift = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    if frame["bucket"].iat[0] < 0:
+        return _by_document(*head[:, :4].T)
+    owner, shift = _windows(head[:, 3])
     body = np.ascontiguousarray(table[:, 40:])
 
     def digit(i: int, rows: np.ndarray) -> np.ndarray:
@@ -350,12 +425,19 @@ def _packed(keyed: DataFrame) -> DataFrame:
 
 def repeated_windows(keyed: DataFrame, buckets: int | None = None) -> DataFrame:
     """(doc_id, mark, windows): for each document with repeated windows, lists of packed (first, count)."""
-    buckets = buckets or _BUCKETS * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = keyed.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(_BUCKETS * partitions, -(-size // _BUCKET_BYTES))
+    tasks = max(partitions, -(-size // _TASK_BYTES))
     found = "doc_id long, mark int, windows binary"
+
+    def first_pass(frame: pd.DataFrame) -> pd.DataFrame:
+        return _first_pass(frame, CROWDED)
+
     records = keyed.where(F.octet_length("text") >= WINDOW).mapInPandas(
         _records(buckets), "bucket int, records binary"
     )
-    first = stage(records.groupBy("bucket").applyInPandas(_first_pass, f"{found}, grams binary"))
+    first = stage(records.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(first_pass, f"{found}, grams binary"))
     open_ = (
         first.where("grams is not null")
         .groupBy(*_KEYS)
@@ -367,6 +449,7 @@ def repeated_windows(keyed: DataFrame, buckets: int | None = None) -> DataFrame:
     last = stage(
         looked_up.select(*_KEYS, "packed", "windows", "grams")
         .mapInPandas(_segments(buckets), "bucket int, segments binary")
+        .repartition(tasks, "bucket")
         .groupBy("bucket")
         .applyInPandas(_last_passes, found)
     )

@@ -1,8 +1,10 @@
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from caregauge.llm import substrings
@@ -64,6 +66,42 @@ def test_hot_passage_and_small_batches(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+@pytest.mark.parametrize(("crowd", "crowded"), [(2, 1 << 16), (5, 1 << 16), (64, 2), (2, 2)])
+def test_crowded_grams(spark, monkeypatch, crowd, crowded):
+    rng = random.Random(crowd)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(90))
+    rows = [(i, f"{rng.choice('xyz')}{passage[rng.randint(0, 3):]}{rng.choice('uvw')} {rng.random()}") for i in range(150)]
+    rows += [(None, f"x{passage}u {rng.random()}"), (None, f"{rng.random()} x{passage}"), (7, passage), (400, f"{passage[:60]}?")]
+    rng.shuffle(rows)
+    monkeypatch.setattr(substrings, "CROWD", crowd)
+    monkeypatch.setattr(substrings, "CROWDED", crowded)
+    monkeypatch.setattr(substrings, "_BATCH_BYTES", 2500)
+    monkeypatch.setattr(substrings, "_CROWD_RECORDS", 30)
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+
+
+def test_windows_of_a_crowd_spread_over_the_buckets():
+    """A thousand documents with one passage: the bucket of its edges gets a mark, and no bucket many of the windows."""
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(90))
+    texts = [f"{rng.random()}{passage}{rng.random()}" for _ in range(1000)]
+    batch = pd.DataFrame({"doc_id": range(1000), "mark": 0, "text": texts})
+    packed = pd.concat(substrings._records(64)([batch]))
+    kept, opened = Counter(), []
+    for bucket, data in zip(packed["bucket"], packed["records"], strict=True):
+        kept[bucket] += len(substrings._unpack(data)[0])
+        if bucket < 0 and bucket % 2 == 0:
+            opened.append(substrings._first_pass(pd.DataFrame({"bucket": [bucket], "records": [data]})))
+    rows = pd.concat(opened).groupby(["doc_id", "mark"], as_index=False).agg(list)
+    assert len(rows) > 900 and max(kept.values()) < 400
+    rows["packed"] = [zlib.compress(texts[i].encode()) for i in rows["doc_id"]]
+    segments = pd.concat(substrings._segments(64)([rows]))
+    sent = Counter()
+    for bucket, data in zip(segments["bucket"], segments["segments"], strict=True):
+        sent[bucket] += len(data) // (40 + substrings._LONGEST) if bucket >= 0 else 0
+    assert max(sent.values()) < 3 * sum(sent.values()) / 64
+
+
 def test_radix_passes():
     rng = np.random.default_rng(2)
     rows = rng.integers(0, 3, (400, 4)).astype(np.uint64)
