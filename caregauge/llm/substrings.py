@@ -48,7 +48,7 @@ _GRAMS = WINDOW - GRAM + 1  # in a window
 _LONGEST = WINDOW + _GRAMS - 1  # bytes that the windows of one anchor cover
 _RUN_BYTES = 1_000_000
 _BATCH_BYTES = 8_000_000
-_BUCKETS = 8  # for each shuffle partition, at least
+_BUCKETS = 2  # for each shuffle partition, at least
 _BUCKET_BYTES = 16_000_000  # of text
 _TASK_BYTES = 64_000_000  # of text
 CROWD = 64
