@@ -17,10 +17,12 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +55,13 @@ class Tokens(dict):
     Byte-level BPE never joins across a space that stands before a word, so a text may be cut there and its
     words looked up one by one. A text where a space precedes white space or ends the text, or that holds the
     string of an added token (which is that token), is encoded whole.
-    Words and the parts they are cut into are remembered, up to a bound; that changes no result.
+    Words and the parts they are cut into are remembered, up to a bound and unless they are long, until `forget`;
+    that changes no result. A part that is a word with a space before is remembered as that word only.
     """
 
-    WORDS = 1_000_000
-    PARTS = 500_000
+    WORDS = 750_000
+    PARTS = 150_000
+    LETTERS = 40  # longer words and parts hardly come again, and would make the bounds on their number worthless
 
     def __init__(self, path: str):
         import regex
@@ -67,6 +71,7 @@ class Tokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.space = self.letters[32]
         self.cut = regex.compile(_CUT).findall
         self.parts: dict[str, bytes] = {}
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
@@ -78,33 +83,53 @@ class Tokens(dict):
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _part(self, part: str) -> bytes:
+    def _encoded(self, part: str) -> bytes:
         """Ids of one piece of the pattern."""
+        if part.isascii() and part[1:].isalpha() and part[0] == " ":
+            written = self.space + part[1:]
+        else:
+            written = part.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """The same, remembered."""
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) >= self.PARTS:
-                self.parts.clear()
-            written = part.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
-            self.parts[part] = found
+            if part[0] == " " and self._plain(part[1:]):
+                return self[part[1:]]
+            found = self._encoded(part)
+            if len(part) <= self.LETTERS:
+                if len(self.parts) >= self.PARTS:
+                    self.parts.clear()
+                self.parts[part] = found
         return found
 
+    @staticmethod
+    def _plain(word: str) -> bool:
+        """Whether a space and the word are surely one piece of the pattern."""
+        return word.isalpha() and (word.isascii() or (word.isprintable() and max(word) < "\u0250"))
+
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self._part, self.cut(chunk)))
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.WORDS:
-            self.clear()
         letters = word.rstrip(_ENDS)
-        if letters.isalpha() and letters.isprintable() and max(letters) < "\u0250":
-            found = self._part(f" {letters}")
-            if len(letters) < len(word):
-                found += self._part(word[len(letters) :])
-        else:
+        if not self._plain(letters):
             found = self._chunk(f" {word}")
-        self[word] = found
+        elif len(letters) < len(word):
+            found = self[letters] + self._part(word[len(letters) :])
+        else:
+            found = self._encoded(f" {word}")
+        if len(word) <= self.LETTERS:
+            if len(self) >= self.WORDS:
+                self.clear()
+            self[word] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.parts.clear()
+
     def of(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if _SPACE_BEFORE_SPACE.search(text) or self.added(text):
@@ -122,6 +147,19 @@ def tokens(path: str) -> Tokens:
     return _tokens[path]
 
 
+@contextmanager
+def remembering(path: str) -> Iterator[Tokens]:
+    """Tokens that remember words within the block only.
+
+    A worker process serves later stages and queries too, or waits for them, beside others like it.
+    """
+    encoder = tokens(path)
+    try:
+        yield encoder
+    finally:
+        encoder.forget()
+
+
 def cut(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces."""
     first = n_tokens % capacity or capacity
@@ -143,20 +181,21 @@ def token_pieces(
     )
     end = array("I", [END]).tobytes()
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = tokens(tokenizer)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encoder.of(text) + end
-                for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                    rows.append((doc_id, i, start, length, crc))
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            frame["doc_id"] = frame["doc_id"].astype(batch["doc_id"].dtype)
-            yield frame
-
-    return given.mapInPandas(pieces, PIECES.format(id=given.schema["doc_id"].dataType.simpleString()))
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with remembering(tokenizer) as encoder:
+            for batch in batches:
+                rows = []
+                for n, text in enumerate(batch.column("text")):  # one text at a time leaves Arrow's memory
+                    ids = encoder.of(text.as_py()) + end
+                    for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
+                        crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
+                        rows.append((n, i, start, length, crc))
+                table = np.array(rows, np.int64).reshape(-1, 5)
+                columns = [batch.column("doc_id").take(pa.array(table[:, 0])), pa.array(table[:, 1].astype(np.int32))]
+                columns += [pa.array(table[:, j]) for j in (2, 3, 4)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return given.mapInArrow(pieces, PIECES.format(id=given.schema["doc_id"].dataType.simpleString()))
 
 
 @dataclass

@@ -4,6 +4,7 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -37,6 +38,40 @@ def test_remembered_words_give_the_same_ids(texts):
         assert known.of(t) == array("I", whole([t])[0][:-1]).tobytes(), t
 
 
+def test_long_words_are_not_remembered():
+    known = packing.Tokens(PATH)
+    for t in ["x" * 5000, "漢字" * 2000, "word." + "ab\n" * 1000, "a " + "é" * 3000 + ",", "it " + "12" * 900]:
+        assert known.of(t) == array("I", whole([t])[0][:-1]).tobytes()
+    assert max(map(len, [*known, *known.parts])) <= 40
+
+
+def test_a_word_is_remembered_once():
+    known = packing.Tokens(PATH)
+    assert known.of("some words, some") == array("I", whole(["some words, some"])[0][:-1]).tobytes()
+    assert not {f" {w}" for w in known} & set(known.parts)
+
+
+def test_workers_remember_no_words_after_a_task(spark, docs):
+    packing.token_pieces(docs, PATH).collect()
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pd.DataFrame({"encoders": [len(packing._tokens)], "words": [sum(len(t) + len(t.parts) for t in packing._tokens.values())]})
+
+    found = spark.range(64).repartition(8).mapInPandas(held, "encoders long, words long").collect()
+    assert any(r.encoders for r in found)  # a worker that has served the job before
+    assert not any(r.words for r in found)
+
+
+def test_ids_keep_their_type_beside_nulls(spark):
+    ids = [2**62 + 1, None, 2**53 + 1]
+    docs = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string").coalesce(1)
+    assert [r.doc_id for r in packing.token_pieces(docs, PATH).collect()] == ids
+    named = docs.select(docs["doc_id"].cast("string").alias("doc_id"), "text")
+    assert [r.doc_id for r in packing.token_pieces(named, PATH).collect()] == [i if i is None else str(i) for i in ids]
+
+
 @pytest.mark.parametrize("capacity", [16, 2048])
 def test_pieces_and_sequences(docs, rows, capacity):
     packed = packing.pack(packing.token_pieces(docs, PATH, capacity), capacity).collect()
