@@ -1,0 +1,103 @@
+"""The risk model's fits by passes over staged rows: the library's results, without its copies of the rows."""
+
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from caregauge.operators import learning, logistic
+from caregauge.operators import risk_model as risk
+from caregauge.plans import catalog
+from caregauge.session import scratch_folder, stage, staging
+from caregauge.sources import star
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    """Rows whose outcome follows from their features, so that a search takes several steps."""
+    numbers = spark.range(3000).select(
+        F.format_string("A%05d", "id").alias("admission_id"),
+        *(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(90 if i in (0, 8) else 6)).cast("double").alias(f) for i, f in enumerate(risk.FEATURES)),
+    )
+    chance = 1 / (1 + F.exp(-(F.col(risk.FEATURES[0]) - 45) / 20 + F.col(risk.FEATURES[1]) - 2))
+    return stage(numbers.withColumn(risk.LABEL, (F.pmod(F.xxhash64("admission_id"), F.lit(1000)) / 1000 < chance).cast("int")))
+
+
+def test_coefficients_and_calibration_are_the_librarys(frame):
+    data = risk._folds(frame, 3, "admission_id", "calibration")
+    for (a, b), (c, d) in zip(risk._fit_by_library(data, 3, 0.5, 500).pairs, risk.fit_risk_model(frame, 3).pairs, strict=True):
+        assert a.summary.totalIterations > 3
+        assert c.coefficients.toArray() == pytest.approx(a.coefficients.toArray(), rel=1e-7) and c.intercept == pytest.approx(a.intercept, rel=1e-7)
+        assert d.boundaries.toArray() == pytest.approx(b.boundaries.toArray(), rel=1e-7)
+        assert d.predictions.toArray() == pytest.approx(b.predictions.toArray(), abs=1e-12)
+
+
+def test_a_fit_keeps_no_rows(spark, frame):
+    """Neither the dealt rows, nor copies of them for the library's fits."""
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    with staging(spark):
+        folder = scratch_folder(spark).removeprefix("file:")
+        dealt = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        risk.fit_risk_model(frame, 2)
+        assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == dealt
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_numbers_are_dealt_as_rows_are(spark):
+    rows = [(f"k{i % 40}" if i % 7 else None, None if i % 11 == 0 else i % 2, float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "key string, y int, x double").repartition(5)
+    whole = learning.stratified_folds(df, "key", "y", 3, "s").select("y", "x", "fold")
+    narrow = learning.stratified_numbers(df, "key", "y", 3, "s", ["x"])
+    assert narrow.columns == ["y", "x", "fold"]
+    assert sorted(map(repr, narrow.collect())) == sorted(map(repr, whole.collect()))
+    assert learning.stratified_numbers(df.limit(0), "key", "y", 3, "s", ["x"]).count() == 0
+
+
+def test_a_fold_without_rows_of_a_label_goes_to_the_library(frame):
+    """Which refuses the infinite scores of its constant model."""
+    one = frame.withColumn(risk.LABEL, F.lit(0)).limit(40)
+    with pytest.raises(Exception, match="MUST NOT be Infinity"):
+        risk.fit_risk_model(one, 2)
+
+
+def test_blocks_of_batches_are_those_of_all_rows():
+    rng = np.random.default_rng(3)
+    margin = np.sort(rng.integers(0, 300, 1000) / 10)
+    fold = np.sort(rng.integers(0, 2, 1000)).astype(np.int32)
+    order = np.lexsort((margin, fold))
+    label = rng.integers(0, 2, 1000).astype(np.int8)
+    batch = logistic.pa.RecordBatch.from_arrays([logistic.pa.array(x) for x in (fold[order], margin[order], label)], ["f", "m", "y"])
+    whole = [b.to_pylist() for b in logistic.pool_in_order(iter([batch]))]
+    cut = [b.to_pylist() for b in logistic.pool_in_order(iter([batch.slice(i, 7) for i in range(0, 1000, 7)]))]
+
+    def settled(found):
+        """Pooled once more, as the last point of a fold is left apart."""
+        return [[x.tolist() for x in logistic.pooled(*(np.array([r[c] for r in rows]) for c in ("low", "high", "ones", "n")))] for rows in found]
+
+    assert settled(whole) == settled(cut) and sum(r["n"] for rows in whole for r in rows) == 1000
+
+
+def test_area_works_a_score_out_once(spark, monkeypatch):
+    """A filter on the score would go below the projection and call a model's function a second time."""
+    sorted_ = []
+    real = learning.cumulative_counts
+    monkeypatch.setattr(learning, "cumulative_counts", lambda df, *a: sorted_.append(df) or real(df, *a))
+    score = F.udf(lambda x: None if x == 3 else float(x % 5), "double")
+    row = learning.auc_table(spark.range(60).select((F.col("id") % 2).alias("y"), score("id").alias("s")), "y", "s").first()
+    assert (row.positives, row.negatives) == (29, 30)
+    plan = sorted_[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<lambda>(id") == 1 and "Filter" not in plan
+
+
+def test_parts_of_the_fact_are_the_whole(spark, monkeypatch):
+    t = star.StarTables(spark, FOLDER)
+    whole = sorted(map(repr, t.admissions(*catalog.RISK_FACTS).collect()))
+    assert sorted(map(repr, t.staged_admissions(*catalog.RISK_FACTS).collect())) == whole
+    written = []
+    real = star.stage_parts
+    monkeypatch.setattr(star, "stage_parts", lambda parts: real(written.append(1) or p for p in parts))
+    monkeypatch.setattr(star, "PART_BYTES", 40_000)
+    assert sorted(map(repr, t.staged_admissions(*catalog.RISK_FACTS).collect())) == whole and len(written) > 1
