@@ -101,3 +101,10 @@ def test_parts_of_the_fact_are_the_whole(spark, monkeypatch):
     monkeypatch.setattr(star, "stage_parts", lambda parts: real(written.append(1) or p for p in parts))
     monkeypatch.setattr(star, "PART_BYTES", 40_000)
     assert sorted(map(repr, t.staged_admissions(*catalog.RISK_FACTS).collect())) == whole and len(written) > 1
+
+
+def test_ids_are_not_staged_beside_their_probability(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(catalog, "stage", lambda df: staged.append(df) or stage(df))
+    catalog.all_queries()["expected_probability_check"](spark, FOLDER).collect()
+    assert not staged
