@@ -1,8 +1,11 @@
 import datetime as dt
 import os
 
+import time
+
 import pytest
 
+from caregauge import session
 from caregauge.session import shared_folder, stage, staging
 from caregauge.sources.hospital import load_tables_jdbc
 from caregauge.sources.io import date_predicates, prefix_predicates
@@ -71,3 +74,17 @@ def test_jdbc_load_passes_the_parts_of_each_table(spark, monkeypatch, admissions
     load_tables_jdbc(Session(), "jdbc:x", splits={"admissions": ["a", "b"]}, user="u")
     assert calls["admissions"][:2] == ("jdbc:x", ["a", "b"])
     assert calls["admissions"][2]["user"] == "u" and calls["patients"][1] is None
+
+
+def test_shuffle_files_of_a_long_job_go_when_it_ends(spark, monkeypatch):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    monkeypatch.setattr(session, "LONG_JOB", 0)
+    session.release(spark)
+    time.sleep(5)
+    before = blocks.getAllBlocks().size()
+    staged = session.stage(spark.range(5000).repartition(40))
+    until = time.monotonic() + 20
+    while blocks.getAllBlocks().size() > before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert blocks.getAllBlocks().size() <= before
+    assert staged.count() == 5000
